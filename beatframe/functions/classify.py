@@ -179,18 +179,20 @@ def visual_hints(text: Column, rules: Rules = R.HINT_RULES) -> Column:
     return all_hits(F.lower(blank(text)), rules)
 
 
-def beat_role(text: Column) -> Column:
+def beat_role(
+    text: Column, casualty=R.ROLE_CASUALTY, battle=R.ROLE_BATTLE, army=R.ROLE_ARMY, awaken=R.ROLE_AWAKEN,
+    religious=R.ROLE_RELIGIOUS, belief=R.ROLE_BELIEF, dream=R.ROLE_DREAM, reaction=R.ROLE_REACTION,
+) -> Column:
     v = F.lower(blank(text))
-    religious, dream = any_of(v, R.ROLE_RELIGIOUS), any_of(v, R.ROLE_DREAM)
+    sacred, asleep = any_of(v, religious), any_of(v, dream)
     return (
-        F.when(any_of(v, R.ROLE_CASUALTY), "aftermath")
-        .when(any_of(v, R.ROLE_BATTLE), "battle")
-        .when(any_of(v, R.ROLE_ARMY), "army")
-        .when(any_of(v, R.ROLE_AWAKEN), "awakening")
-        .when(religious & any_of(v, R.ROLE_BELIEF), "revelation")
-        .when(dream & religious, "revelation")
-        .when(dream, "vision")
-        .when(any_of(v, R.ROLE_REACTION), "reaction")
+        F.when(any_of(v, casualty), "aftermath")
+        .when(any_of(v, battle), "battle")
+        .when(any_of(v, army), "army")
+        .when(any_of(v, awaken), "awakening")
+        .when(sacred & (any_of(v, belief) | asleep), "revelation")
+        .when(asleep, "vision")
+        .when(any_of(v, reaction), "reaction")
         .otherwise("")
     )
 

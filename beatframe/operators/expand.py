@@ -15,7 +15,7 @@ from ..functions.text import (
     blank, clean_action_query, clean_footage_subject, clean_overlay_query, filled, first_filled, join_words, let,
     merge_queries, ordered_distinct, squash, squash_edges, strings, strip_constraints, tokens, useful_keywords,
 )
-from .blocks import BLOCK, join_per_key
+from .blocks import BLOCK, checkpoint, join_per_key
 from .sequence import _lag, chunk_words, fill_sequence_variation
 
 PLAN = ["plan_id"]
@@ -94,7 +94,7 @@ def search_queries(caption: Column, context: Column, neighborhood: Column, mode:
 def build_scenes(words: DataFrame, target: int = 1700, minimum: int = 950, maximum: int = 2700, size: int = BLOCK) -> DataFrame:
     """Timed words to fully described scenes."""
     s = chunk_words(words, target, minimum, maximum, size)
-    s = s.withColumn("caption", join_words(F.transform("words", lambda w: w["text"])))
+    s = checkpoint(s.withColumn("caption", join_words(F.transform("words", lambda w: w["text"]))))
     s = _lag(s, "scene_idx", {"__prev": ("caption", 1), "__next": ("caption", -1)}, size=size)
     s = join_per_key(s, story_context(s, size).select("plan_id", "global_context"), PLAN, "scene_idx", size=size)
     s = s.withColumn("visual_mode", C.visual_mode(F.col("caption"), F.col("scene_idx"), F.col("end_ms") - F.col("start_ms")))
@@ -301,6 +301,7 @@ def beat_grammar(scenes: DataFrame, size: int = BLOCK) -> DataFrame:
     s = s.withColumns(
         {"visual_description": take("d", "visual_description"), "visual_mode": take("m", "visual_mode"), "source_mode": take("s", "source_mode"), "__on": on}
     ).drop("taiping", "__r")
+    s = checkpoint(s)
     varied = fill_sequence_variation(s, size)
     out = s.drop("query", "search_queries").join(varied, ["plan_id", "scene_idx"])
     return out.select(*scenes.columns, (F.col("__on") | F.col("varied")).alias("rewritten"))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import rules as R
+from ..functions.lexicon import any_of
+from ..functions.text import blank
+
 
 def tone_counts(scenes: DataFrame) -> DataFrame:
     """Scenes of each tone per plan: ``plan_id, tone, n``."""
@@ -77,3 +81,11 @@ def shot_rhythm(spans: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("shots"), F.round(F.avg(length), 3).alias("mean_ms"), F.median(length).alias("median_ms"),
         F.min(length).alias("min_ms"), F.max(length).alias("max_ms"), F.round(video / F.sum(length), 6).alias("video_share"),
     )
+
+
+def plan_mood(scenes: DataFrame, rules=R.MOOD_RULES) -> DataFrame:
+    """Mood of each plan: the first rule that hits any caption (needles hold no spaces)."""
+    v = F.lower(blank(F.col("caption")))
+    hits = scenes.groupBy("plan_id").agg(*[F.bool_or(any_of(v, needles)).alias(f"__{i}") for i, (_, needles) in enumerate(rules)])
+    mood = F.coalesce(*[F.when(F.col(f"__{i}"), label) for i, (label, _) in enumerate(rules)], F.lit("neutral"))
+    return hits.select("plan_id", mood.alias("mood"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.classify import beat_role
 from ..functions.media import resolved_preset
 from ..functions.text import blank, clean_beat_query, first_filled, let, merge_queries, query_signature, split_words, strings
-from .blocks import BLOCK, asof, block_window, dense_pos, fold_blocks, halo, join_per_key, ordered_fold, own_rows, prefix
+from .blocks import BLOCK, asof, block_window, checkpoint, dense_pos, fold_blocks, halo, join_per_key, ordered_fold, own_rows, prefix
 
 PLAN = ["plan_id"]
 SENTENCE_END = "[.!?…]+$"
@@ -141,14 +141,14 @@ def normalize_cuts(beats: DataFrame, words: DataFrame, target: int = 2150, size:
     asked = beats.select("plan_id", F.col("start_idx").cast("int").alias("idx")).distinct()
     zero = w.filter("idx = 0").select("plan_id", "idx")
     cuts = asked.unionByName(zero).distinct().join(w, ["plan_id", "idx"])
-    cuts = dense_pos(cuts, PLAN, [F.col("idx")], F.floor(F.col("idx") / F.lit(size * 8)), "pos")
+    cuts = checkpoint(dense_pos(checkpoint(cuts), PLAN, [F.col("idx")], F.floor(F.col("idx") / F.lit(size * 8)), "pos"))
 
     def keep(state: Column, c: Column):
         kept = state["last"].isNull() | (c["start_ms"] - state["last"] >= 850)
         return {"last": F.when(kept, c["start_ms"]).otherwise(state["last"])}, kept, F.array(F.struct(c["idx"].alias("idx")))
 
     kept = ordered_fold(cuts, PLAN, "pos", ["idx", "start_ms"], {"last": ("bigint", None)}, keep, "struct<idx:int>", size)
-    kept = kept.join(w, ["plan_id", "idx"])
+    kept = checkpoint(kept.join(w, ["plan_id", "idx"]))
     kept = dense_pos(kept, PLAN, [F.col("idx")], F.floor(F.col("idx") / F.lit(size * 8)), "pos")
     kept = _lag(kept, "pos", {"next_idx": ("idx", -1), "next_ms": ("start_ms", -1)}, size=size)
     last = w.groupBy("plan_id").agg(F.max("idx").alias("last_idx"), F.max_by("end_ms", "idx").alias("plan_end"))
@@ -156,12 +156,12 @@ def normalize_cuts(beats: DataFrame, words: DataFrame, target: int = 2150, size:
         "plan_id", F.col("idx").alias("gap_idx"), F.col("start_ms").alias("gap_ms"),
         F.coalesce("next_idx", F.col("last_idx") + 1).alias("until_idx"), F.coalesce("next_ms", "plan_end").alias("until_ms"),
     )
-    long = gaps.filter(F.col("until_ms") - F.col("gap_ms") > 3500)
+    long = checkpoint(gaps.filter(F.col("until_ms") - F.col("gap_ms") > 3500))
     inside = asof(w, long, PLAN, "idx", "gap_idx", F.struct("gap_idx", "gap_ms", "until_idx", "until_ms"), "g", size)
     inside = inside.filter((F.col("idx") > F.col("g.gap_idx")) & (F.col("idx") < F.col("g.until_idx")))
     inside = inside.select("plan_id", "g.*", "idx", "start_ms", F.lit(False).alias("stop"))
     stops = long.select("plan_id", "gap_idx", "gap_ms", "until_idx", "until_ms", F.col("until_idx").alias("idx"), F.col("until_ms").alias("start_ms"), F.lit(True).alias("stop"))
-    rows = inside.unionByName(stops).withColumn("pos", F.col("idx") - F.col("gap_idx") - 1)
+    rows = checkpoint(inside.unionByName(stops).withColumn("pos", F.col("idx") - F.col("gap_idx") - 1))
 
     def split(state: Column, r: Column):
         def wanted(cur: Column) -> Column:  # twice the target time, so halves stay whole
@@ -336,16 +336,20 @@ def _braces(text: Column) -> Column:
 def timings_aligned(words: Column, tokens: Column, start: Column, end: Column) -> Column:
     """Do the timed words describe exactly this caption inside this scene?"""
 
-    def fine(w: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.try_element_at(words, i)["start_ms"]).otherwise(F.lit(-1000))
-        return (
-            (F.trim(_braces(w["text"])) == F.try_element_at(tokens, i + 1))
-            & (w["start_ms"] >= start - 1) & (w["end_ms"] <= end + 1)
-            & (w["end_ms"] > w["start_ms"]) & (w["start_ms"] > before) & (w["start_ms"] < end)
-        )
+    def fine(p: Column) -> Column:
+        def word(w: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.try_element_at(p["ws"], i)["start_ms"]).otherwise(F.lit(-1000))
+            ok = (
+                (F.trim(_braces(w["text"])) == F.try_element_at(p["tok"], i + 1))
+                & (w["start_ms"] >= p["s"] - 1) & (w["end_ms"] <= p["e"] + 1)
+                & (w["end_ms"] > w["start_ms"]) & (w["start_ms"] > before) & (w["start_ms"] < p["e"])
+            )
+            return F.coalesce(ok, F.lit(False))
 
-    checked = F.transform(words, lambda w, i: F.coalesce(fine(w, i), F.lit(False)))
-    return F.coalesce((F.size(words) > 0) & (F.size(words) == F.size(tokens)) & F.forall(checked, lambda x: x), F.lit(False))
+        same = (F.size(p["ws"]) > 0) & (F.size(p["ws"]) == F.size(p["tok"]))
+        return F.coalesce(same & F.forall(F.transform(p["ws"], word), lambda x: x), F.lit(False))
+
+    return let(F.struct(words.alias("ws"), tokens.alias("tok"), start.alias("s"), end.alias("e")), fine)
 
 
 def caption_pages(scenes: DataFrame, words: str | None = "caption_words") -> DataFrame:
@@ -360,47 +364,63 @@ def caption_pages(scenes: DataFrame, words: str | None = "caption_words") -> Dat
     timed = F.lit(None).cast(word_type) if words is None else F.transform(
         F.col(words), lambda w: F.struct(w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["text"].alias("text"))
     )
-    s = scenes.select("plan_id", "scene_idx", "start_ms", "end_ms", split_words(_braces(blank(F.col("caption")))).alias("tok"), timed.alias("ws"))
-    s = s.filter(F.size("tok") > 0).withColumn("aligned", timings_aligned(F.col("ws"), F.col("tok"), F.col("start_ms"), F.col("end_ms")))
-    s = s.withColumn("len", F.transform("tok", lambda t: F.length(_card_token(t)))).withColumn("brk", F.transform("tok", lambda t: t.rlike("[,;:.!?]$")))
-    tok, size, brk, ws, aligned = (F.col(c) for c in ("tok", "len", "brk", "ws", "aligned"))
-
-    def pair(i: Column) -> Column:
-        at = lambda arr, k: F.try_element_at(arr, k)
-        pause = at(ws, i + 1)["start_ms"] - at(ws, i)["end_ms"]
-        return (i < F.size(tok)) & ~at(brk, i) & (~aligned | (pause <= 180)) & ((at(size, i) <= 3) | (at(size, i + 1) <= 3))
-
-    def group(acc: Column, i: Column) -> Column:
-        last = F.when(F.coalesce(pair(i), F.lit(False)), i + 1).otherwise(i)
-        taken = F.struct((last + 1).alias("next"), F.array_append(acc["out"], F.struct(i.alias("a"), last.alias("b"))).alias("out"))
-        return F.when(i == acc["next"], taken).otherwise(acc)
-
-    zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    s = s.withColumn("groups", F.aggregate(F.sequence(F.lit(1), F.size(tok)), zero, group)["out"])
-    weights = F.transform(
-        "groups",
-        lambda g: F.aggregate(F.slice(size, g["a"], g["b"] - g["a"] + 1), F.lit(0), lambda t, n: t + F.greatest(F.lit(2), n)),
-    )
-    s = s.withColumn("weights", weights)
-    s = s.withColumn("total", F.aggregate("weights", F.lit(0), lambda t, n: t + n))
-    running = F.aggregate(
-        "weights", F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
-    )
-    s = s.withColumn("cum", running).select("*", F.posexplode("groups").alias("page", "g"))
-    a, b = F.col("g.a"), F.col("g.b")
-    at = lambda k: F.try_element_at(ws, k)
-    span = F.greatest(F.lit(60), F.col("end_ms") - F.col("start_ms"))
-
-    def cursor(k: Column) -> Column:
-        """Cursor before card ``k`` in whole ms."""
-        reached = F.col("start_ms") + F.floor(span * F.element_at("cum", k + 1) / F.col("total") + 0.5)
-        return F.when(k == 0, F.col("start_ms")).when(k == F.size("groups"), F.col("end_ms")).otherwise(F.least(F.col("end_ms"), reached)).cast("bigint")
-
-    here, then = cursor(F.col("page")), cursor(F.col("page") + 1)
-    start = F.when(aligned, F.greatest(F.col("start_ms"), at(a)["start_ms"])).otherwise(here)
-    end = F.when(aligned, F.least(F.col("end_ms"), at(b)["end_ms"], F.coalesce(at(b + 1)["start_ms"], at(b)["end_ms"]))).otherwise(F.greatest(here + 50, then))
-    text = F.array_join(F.slice(tok, a, b - a + 1), " ")
-    return s.select("plan_id", "scene_idx", F.col("page").cast("int").alias("page"), start.alias("start_ms"), end.alias("end_ms"), text.alias("text"), "aligned")
+    at = lambda arr, k: F.try_element_at(arr, k)
+
+    # Every step binds its inputs once, so nothing is split or matched again per card.
+    def measured(p: Column) -> Column:
+        return F.struct(
+            p["tok"].alias("tok"), p["ws"].alias("ws"), p["s"].alias("s"), p["e"].alias("e"),
+            timings_aligned(p["ws"], p["tok"], p["s"], p["e"]).alias("aligned"),
+            F.transform(p["tok"], lambda t: F.length(_card_token(t))).alias("len"),
+            F.transform(p["tok"], lambda t: t.rlike("[,;:.!?]$")).alias("brk"),
+        )
+
+    def grouped(p: Column) -> Column:
+        def pair(i: Column) -> Column:
+            pause = at(p["ws"], i + 1)["start_ms"] - at(p["ws"], i)["end_ms"]
+            short = (at(p["len"], i) <= 3) | (at(p["len"], i + 1) <= 3)
+            return F.coalesce((i < F.size(p["tok"])) & ~at(p["brk"], i) & (~p["aligned"] | (pause <= 180)) & short, F.lit(False))
+
+        def add(acc: Column, i: Column) -> Column:
+            last = F.when(pair(i), i + 1).otherwise(i)
+            taken = F.struct((last + 1).alias("next"), F.array_append(acc["out"], F.struct(i.alias("a"), last.alias("b"))).alias("out"))
+            return F.when(i == acc["next"], taken).otherwise(acc)
+
+        zero = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+        groups = F.aggregate(F.sequence(F.lit(1), F.size(p["tok"])), zero, add)["out"]
+
+        def grown(acc: Column, g: Column) -> Column:
+            weight = F.greatest(F.lit(2), at(p["len"], g["a"])) + F.when(g["b"] > g["a"], F.greatest(F.lit(2), at(p["len"], g["b"]))).otherwise(0)
+            return F.array_append(acc, F.element_at(acc, -1) + weight)
+
+        return let(
+            groups,
+            lambda g: F.struct(p.alias("p"), g.alias("g"), F.aggregate(g, F.array(F.lit(0)), grown).alias("cum")),
+        )
+
+    def cards(c: Column) -> Column:
+        p, s, e = c["p"], c["p"]["s"], c["p"]["e"]
+        n, total = F.size(c["g"]), F.element_at(c["cum"], -1)
+
+        def cursor(k: Column) -> Column:
+            """Cursor before card ``k`` in whole ms."""
+            reached = s + F.floor(F.greatest(F.lit(60), e - s) * F.element_at(c["cum"], k + 1) / total + 0.5)
+            return F.when(k == 0, s).when(k == n, e).otherwise(F.least(e, reached)).cast("bigint")
+
+        def card(g: Column, k: Column) -> Column:
+            first, last = at(p["ws"], g["a"]), at(p["ws"], g["b"])
+            start = F.when(p["aligned"], F.greatest(s, first["start_ms"])).otherwise(cursor(k))
+            end = F.when(
+                p["aligned"], F.least(e, last["end_ms"], F.coalesce(at(p["ws"], g["b"] + 1)["start_ms"], last["end_ms"]))
+            ).otherwise(F.greatest(cursor(k) + 50, cursor(k + 1)))
+            text = F.array_join(F.slice(p["tok"], g["a"], g["b"] - g["a"] + 1), " ")
+            return F.struct(k.cast("int").alias("page"), start.alias("start_ms"), end.alias("end_ms"), text.alias("text"), p["aligned"].alias("aligned"))
+
+        return F.transform(c["g"], card)
+
+    bundle = F.struct(split_words(_braces(blank(F.col("caption")))).alias("tok"), timed.alias("ws"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    pages = let(bundle, lambda b: F.when(F.size(b["tok"]) > 0, let(measured(b), lambda m: let(grouped(m), cards))))
+    return scenes.select("plan_id", "scene_idx", F.inline(pages))
 
 
 def repetition_runs(scenes: DataFrame, longest: int = 2600, window: int = 3, size: int = BLOCK) -> DataFrame:

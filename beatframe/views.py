@@ -1,11 +1,14 @@
-"""Views that dress the driver's tables as tables of this engine (FIXTURES.md section 1)."""
+"""Views that dress the driver's tables as tables of this engine (see FIXTURES.md).
+
+Titles are first lines, descriptions and queries are whole texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .operators.blocks import dense_pos, prefix
+from .operators.blocks import checkpoint, dense_pos, prefix
 
 
 class Views:
@@ -13,6 +16,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        """Materialise a derived view that a query reads several times."""
+        if name not in self._made:
+            self._made[name] = checkpoint(make())
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -29,7 +39,7 @@ class Views:
             F.when(stop, 300).otherwise(40).cast("bigint").alias("gap"),
         )
 
-    def turns(self) -> DataFrame:
+    def _turns(self) -> DataFrame:
         """Word count, length and offsets of every turn within its plan."""
         t = self._spoken().groupBy("plan_id", "turn").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("dur") + F.col("gap")).alias("total"), F.max_by("gap", "p").alias("rest")
@@ -37,6 +47,18 @@ class Views:
         return prefix(t, ["plan_id"], "turn", {"idx0": ("sum", F.col("n")), "t0": ("sum", F.col("total"))})
 
     def words(self) -> DataFrame:
+        return self._once("words", self._words)
+
+    def scenes(self) -> DataFrame:
+        return self._once("scenes", self._scenes)
+
+    def shots(self) -> DataFrame:
+        return self._once("shots", self._shots)
+
+    def turns(self) -> DataFrame:
+        return self._once("turns", self._turns)
+
+    def _words(self) -> DataFrame:
         inside = Window.partitionBy("plan_id", "turn").orderBy("p")
         earlier = F.sum(F.col("dur") + F.col("gap")).over(inside.rowsBetween(Window.unboundedPreceding, -1))
         w = self._spoken().withColumn("k", F.row_number().over(inside) - 1).withColumn("before", F.coalesce(earlier, F.lit(0)))
@@ -46,7 +68,7 @@ class Views:
             (F.col("start_ms") + F.col("dur")).alias("end_ms"), "text",
         )
 
-    def scenes(self) -> DataFrame:
+    def _scenes(self) -> DataFrame:
         c = self.table("conversations").select(
             F.col("conv_id").alias("plan_id"), F.col("turn").cast("int").alias("turn"), F.col("text").alias("caption"), "role"
         )
@@ -63,7 +85,7 @@ class Views:
             F.col("doc_id").alias("cand_id"),
             F.when(slot == 0, "commons").when(slot == 1, "openverse").when(slot == 2, "pexels").otherwise("pixabay").alias("provider"),
             F.when(slot < 2, "image").otherwise("video").alias("kind"),
-            F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 300).alias("description"),
+            F.regexp_extract("text", "^[^\\n]*", 0).alias("title"), F.col("text").alias("description"),
             F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("download_url"),
             (320 + (F.col("doc_id") * 37) % 1800).cast("int").alias("width"),
             (320 + (F.col("doc_id") * 53) % 1800).cast("int").alias("height"),
@@ -73,10 +95,10 @@ class Views:
 
     def queries(self) -> DataFrame:
         return self.table("benchmark").select(
-            F.col("item_id").cast("int").alias("query_id"), F.substring("text", 1, 40).alias("query")
+            F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("query")
         )
 
-    def shots(self) -> DataFrame:
+    def _shots(self) -> DataFrame:
         e = dense_pos(
             self.table("events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "scene_pos"
         )
