@@ -8,7 +8,8 @@ from .text import let
 
 
 def clamp(value: Column, low, high) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Bounded value; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def clamp_or_default(value: Column, low: float, high: float, default: float) -> Column:

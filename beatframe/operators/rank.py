@@ -484,12 +484,13 @@ def fallback_ladder(scenes: DataFrame, guard: DataFrame, pools: dict[str, DataFr
         pool = pools[level].join(todo.select(*SCENE), SCENE, "left_semi")
         if gone is not None:
             pool = pool.join(gone, [*SCENE, "download_url"], "left_anti")
-        chosen, rejected = select_best(pool, todo, guard, judges.get(level), checks)
+        chosen, rejected = select_best(checkpoint(pool), todo, guard, judges.get(level), checks)
+        rejected, chosen = checkpoint(rejected), checkpoint(chosen)
         chosen = chosen.select(*SCENE, "cand_id", "download_url", "title", "combined", "checks").withColumn("level", F.lit(level))
         bad = rejected.filter("reason <> 'local_quality'").select(*SCENE, "download_url")
         gone = bad if gone is None else gone.unionByName(bad)
         found = chosen if found is None else found.unionByName(chosen)
-        todo = todo.filter(~F.col("semantic_lock")).join(chosen.select(*SCENE), SCENE, "left_anti")
+        todo = checkpoint(todo.filter(~F.col("semantic_lock")).join(chosen.select(*SCENE), SCENE, "left_anti"))
     status = (
         F.when(F.col("level") == "exact", "downloaded")
         .when(F.col("level").isNotNull(), "downloaded_recovery")

@@ -18,7 +18,7 @@ class Views:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
 
-    def _once(self, name: str, make) -> DataFrame:
+    def once(self, name: str, make) -> DataFrame:
         """Materialise a derived view that a query reads several times."""
         if name not in self._made:
             self._made[name] = checkpoint(make())
@@ -47,16 +47,16 @@ class Views:
         return prefix(t, ["plan_id"], "turn", {"idx0": ("sum", F.col("n")), "t0": ("sum", F.col("total"))})
 
     def words(self) -> DataFrame:
-        return self._once("words", self._words)
+        return self.once("words", self._words)
 
     def scenes(self) -> DataFrame:
-        return self._once("scenes", self._scenes)
+        return self.once("scenes", self._scenes)
 
     def shots(self) -> DataFrame:
-        return self._once("shots", self._shots)
+        return self.once("shots", self._shots)
 
     def turns(self) -> DataFrame:
-        return self._once("turns", self._turns)
+        return self.once("turns", self._turns)
 
     def _words(self) -> DataFrame:
         inside = Window.partitionBy("plan_id", "turn").orderBy("p")
