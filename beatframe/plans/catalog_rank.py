@@ -119,14 +119,14 @@ def frames(v: Views) -> DataFrame:
 
 def similar(v: Views) -> DataFrame:
     """Similarity of every frame to the prompts of its scene."""
-    return K.cosine_scores(prompts(v), frames(v), ["scene_idx"])
+    return K.cosine_scores(prompts(v), frames(v), ["scene_idx"], digits=9)
 
 
 @query
 def clip_cosine_topk(v: Views) -> DataFrame:
     order = Window.partitionBy("prompt_id").orderBy(F.desc("score"), "item_id")
     top = similar(v).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 6)
-    return top.select("prompt_id", "place", "item_id", F.round("score", 5).alias("score"))
+    return top.select("prompt_id", "place", "item_id", "score")
 
 
 def pooled(v: Views) -> DataFrame:
@@ -136,7 +136,7 @@ def pooled(v: Views) -> DataFrame:
 
 @query
 def frame_pool(v: Views) -> DataFrame:
-    return pooled(v).select("scene_idx", "prompt_id", "cand_id", F.round("visual", 5).alias("visual"))
+    return pooled(v).select("scene_idx", "prompt_id", "cand_id", F.round("visual", 9).alias("visual"))
 
 
 @query
@@ -144,29 +144,29 @@ def blended_scores(v: Views) -> DataFrame:
     """Pooled similarity as primary score; every third candidate has a specific one as well."""
     c = v.candidates().select(F.col("cand_id").cast("int").alias("cand_id"), "title")
     p = pooled(v).join(c, "cand_id").select(
-        F.col("prompt_id").alias("plan_id"), "scene_idx", F.col("cand_id").alias("candidate"), F.round("visual", 4).alias("primary"),
-        F.when(F.col("cand_id") % 3 == 0, F.round(F.col("visual") * 0.5 + 0.1, 4)).alias("specific"), "title", F.lit("the of and that que la der").alias("wanted"),
+        F.col("prompt_id").alias("plan_id"), "scene_idx", F.col("cand_id").alias("candidate"), F.round("visual", 9).alias("primary"),
+        F.when(F.col("cand_id") % 3 == 0, F.round(F.col("visual") * 0.5 + 0.1, 9)).alias("specific"), "title", F.lit("the of and that que la der").alias("wanted"),
     )
-    return K.blend_scores(p).select("plan_id", "candidate", "place", F.round("score", 6).alias("score"))
+    return K.blend_scores(p).select("plan_id", "candidate", "place", "score")
 
 
 @query
 def visual_rerank(v: Views) -> DataFrame:
     """Videos re-scored by pooled frames; images boosted by their similarity."""
     keys = ["plan_id", "scene_idx", "cand_id"]
-    p = pooled(v).select(F.col("prompt_id").alias("plan_id"), "scene_idx", "cand_id", F.round("visual", 4).alias("visual"))
+    p = pooled(v).select(F.col("prompt_id").alias("plan_id"), "scene_idx", "cand_id", F.round("visual", 9).alias("visual"))
     pool = p.select(
         *keys, F.when(F.col("cand_id") % 2 == 0, "video").otherwise("image").alias("kind"), ((F.col("cand_id") * 7) % 50).cast("double").alias("score"),
         F.row_number().over(Window.partitionBy("plan_id", "scene_idx").orderBy("cand_id")).alias("place"),
     )
     seen = p.filter("cand_id % 5 <> 0")
     out = K.semantic_boost(K.video_rerank(pool, seen, keys), p.select(*keys, F.col("visual").alias("sim")), keys, 6)
-    return out.select(*keys, "kind", F.round("score", 4).alias("score"))
+    return out.select(*keys, "kind", F.round("score", 9).alias("score"))
 
 
 def rankings(v: Views) -> DataFrame:
     """Per prompt, as a scene of its label's plan, the nine best candidates."""
-    p = pooled(v).withColumn("visual", F.round("visual", 5))
+    p = pooled(v).withColumn("visual", F.round("visual", 9))
     n = prompts(v).select(F.col("scene_idx").alias("plan_id"), "prompt_id")
     n = n.withColumn("s", (F.row_number().over(Window.partitionBy("plan_id").orderBy("prompt_id")) - 1).cast("int"))
     p = p.withColumnRenamed("scene_idx", "plan_id").join(n, ["plan_id", "prompt_id"])
@@ -267,7 +267,7 @@ def best_stickers(v: Views) -> DataFrame:
     s = similar(v).select(F.col("prompt_id"), F.concat(F.lit("a"), (F.col("item_id") % 40).cast("string")).alias("asset"), "score")
     s = s.groupBy("prompt_id", "asset").agg(F.max("score").alias("score"))
     gone = prompts(v).select("prompt_id", F.concat(F.lit("a"), (F.col("prompt_id") % 40).cast("string")).alias("asset"))
-    return K.best_sticker(s, ["prompt_id"], gone).select("prompt_id", "asset", F.round("score", 5).alias("score"))
+    return K.best_sticker(s, ["prompt_id"], gone).select("prompt_id", "asset", "score")
 
 
 @query

@@ -73,21 +73,21 @@ SELECT plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY q, turn) A
 # --- vectors ----------------------------------------------------------------------
 
 SIMILAR = """
-sims AS (SELECT p.label AS scene_idx, p.vec_id AS prompt_id, f.vec_id AS item_id, CAST(floor(f.vec_id / 3) AS INT) AS cand_id, round(list_dot_product(p.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score
+sims AS (SELECT p.label AS scene_idx, p.vec_id AS prompt_id, f.vec_id AS item_id, CAST(floor(f.vec_id / 3) AS INT) AS cand_id, round(list_dot_product(p.embedding::DOUBLE[], f.embedding::DOUBLE[]), 9) AS score
   FROM embeddings p JOIN embeddings f ON f.label = p.label AND p.vec_id % 25 = 0 AND f.vec_id % 25 <> 0),
 pooled AS (SELECT scene_idx, prompt_id, cand_id, max(score) * 0.72::DOUBLE + avg(score) * 0.28::DOUBLE AS visual FROM sims GROUP BY 1, 2, 3)"""
-sql("clip_cosine_topk", SIMILAR, "SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, item_id) AS INT) AS place, item_id, round(score, 5) AS score FROM sims QUALIFY place <= 6")
-sql("frame_pool", SIMILAR, "SELECT scene_idx, prompt_id, cand_id, round(visual, 5) AS visual FROM pooled")
-sql("blended_scores", CANDIDATES + "," + SIMILAR, f""", b AS (SELECT prompt_id, p.cand_id, round(visual, 4) AS pr, CASE WHEN p.cand_id % 3 = 0 THEN round(visual * 0.5::DOUBLE + 0.1::DOUBLE, 4) END AS sp, {toks(lit('the of and that que la der'))} AS w, {toks('title')} AS t FROM pooled p JOIN candidates c ON c.cand_id = p.cand_id),
+sql("clip_cosine_topk", SIMILAR, "SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, item_id) AS INT) AS place, item_id, score FROM sims QUALIFY place <= 6")
+sql("frame_pool", SIMILAR, "SELECT scene_idx, prompt_id, cand_id, round(visual, 9) AS visual FROM pooled")
+sql("blended_scores", CANDIDATES + "," + SIMILAR, f""", b AS (SELECT prompt_id, p.cand_id, round(visual, 9) AS pr, CASE WHEN p.cand_id % 3 = 0 THEN round(visual * 0.5::DOUBLE + 0.1::DOUBLE, 9) END AS sp, {toks(lit('the of and that que la der'))} AS w, {toks('title')} AS t FROM pooled p JOIN candidates c ON c.cand_id = p.cand_id),
 s AS (SELECT *, round(coalesce(sp, pr) * 0.62::DOUBLE + pr * 0.34::DOUBLE + len(list_intersect(w, t)) / len(w)::DOUBLE * 0.04::DOUBLE, 9) AS s FROM b)
 SELECT prompt_id AS plan_id, cand_id AS candidate, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY s DESC, cand_id DESC) AS INT) AS place, round(s, 6) AS score FROM s""")
-sql("visual_rerank", SIMILAR, """, p AS (SELECT prompt_id AS plan_id, scene_idx, cand_id, round(visual, 4) AS v, cand_id % 2 = 0 AS vid, ((cand_id * 7) % 50)::DOUBLE AS sc FROM pooled),
+sql("visual_rerank", SIMILAR, """, p AS (SELECT prompt_id AS plan_id, scene_idx, cand_id, round(visual, 9) AS v, cand_id % 2 = 0 AS vid, ((cand_id * 7) % 50)::DOUBLE AS sc FROM pooled),
 n AS (SELECT *, row_number() OVER (PARTITION BY plan_id, vid ORDER BY cand_id) AS n FROM p)
-SELECT plan_id, scene_idx, cand_id, CASE WHEN vid THEN 'video' ELSE 'image' END AS kind, round(CASE WHEN vid THEN CASE WHEN cand_id % 5 <> 0 THEN sc * 0.20::DOUBLE + v * 100.0::DOUBLE ELSE least(sc, -100) END WHEN n <= 6 THEN sc + v * 28.0::DOUBLE ELSE sc END, 4) AS score FROM n""")
+SELECT plan_id, scene_idx, cand_id, CASE WHEN vid THEN 'video' ELSE 'image' END AS kind, round(CASE WHEN vid THEN CASE WHEN cand_id % 5 <> 0 THEN sc * 0.20::DOUBLE + v * 100.0::DOUBLE ELSE least(sc, -100) END WHEN n <= 6 THEN sc + v * 28.0::DOUBLE ELSE sc END, 9) AS score FROM n""")
 
 RANKS = SIMILAR + """,
 pr AS (SELECT label AS plan_id, vec_id AS prompt_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS s FROM embeddings WHERE vec_id % 25 = 0),
-ranks AS (SELECT pr.plan_id, CAST(s AS INT) AS scene_idx, cand_id, round(visual, 5) AS score, CAST(row_number() OVER (PARTITION BY pr.plan_id, s ORDER BY round(visual, 5) DESC, cand_id) AS INT) AS place FROM pooled p JOIN pr ON pr.prompt_id = p.prompt_id QUALIFY place <= 9),
+ranks AS (SELECT pr.plan_id, CAST(s AS INT) AS scene_idx, cand_id, round(visual, 9) AS score, CAST(row_number() OVER (PARTITION BY pr.plan_id, s ORDER BY round(visual, 9) DESC, cand_id) AS INT) AS place FROM pooled p JOIN pr ON pr.prompt_id = p.prompt_id QUALIFY place <= 9),
 opts AS (SELECT plan_id, scene_idx, list({'c': cand_id, 'p': place, 's': score} ORDER BY place) AS o FROM ranks GROUP BY 1, 2),
 greedy AS (SELECT plan_id, scene_idx, o[1] AS pick, [o[1].c] AS used FROM opts WHERE scene_idx = 0
   UNION ALL SELECT o.plan_id, o.scene_idx, list_filter(o.o, lambda x: NOT list_contains(g.used, x.c))[1], CASE WHEN list_filter(o.o, lambda x: NOT list_contains(g.used, x.c))[1] IS NULL THEN g.used ELSE list_append(g.used, list_filter(o.o, lambda x: NOT list_contains(g.used, x.c))[1].c) END
@@ -158,7 +158,7 @@ s AS (SELECT *, CASE WHEN has THEN score ELSE 50 END + base AS sc, CASE WHEN has
 k AS (SELECT *, CASE WHEN judged THEN sc * 0.68::DOUBLE + qu * 0.32::DOUBLE ELSE sim * 100.0::DOUBLE + base END AS t FROM s WHERE NOT judged OR NOT has OR (accept AND sc >= 45 AND qu >= 40))
 SELECT query_id, pos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t DESC, pos) AS INT) AS place, round(t, 6) AS score FROM k""")
 sql("best_stickers", SIMILAR, """, s AS (SELECT prompt_id, 'a' || (item_id % 40) AS asset, max(score) AS score FROM sims GROUP BY 1, 2)
-SELECT prompt_id, asset, round(score, 5) AS score FROM s WHERE score > 0 AND asset <> 'a' || (prompt_id % 40) QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, asset) = 1""")
+SELECT prompt_id, asset, score FROM s WHERE score > 0 AND asset <> 'a' || (prompt_id % 40) QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, asset) = 1""")
 
 CUT = __import__("beatframe.operators.rank", fromlist=["CUTOUT_REJECT"])
 sql("cutout_search", CANDIDATES, f""", q AS (SELECT *, CASE lang WHEN 'en' THEN ['the', 'and', 'ing'] WHEN 'fr' THEN ['que', 'la', 'eau'] WHEN 'de' THEN ['der', 'sch'] ELSE ['de', 'la', 'ci', 'n'] END AS qt, lower(title || CASE WHEN cand_id % 6 = 0 THEN ' Sticker' WHEN cand_id % 7 = 0 THEN ' Flag' ELSE '' END || ' ' || description) AS meta, cand_id % 5 = 0 AND cand_id % 3 = 0 AND lang <> 'fr' AND width >= 240 AND height >= 240 AS png FROM candidates WHERE kind = 'image'),
@@ -355,6 +355,34 @@ ctx1 AS (SELECT plan_id, {has('t', R.HISTORY_STEMS)} AS hist, list_filter([{', '
 near AS (SELECT c.*, array_to_string(p, ' ') AS gctx, concat_ws(' ', lag(caption) OVER o, caption, lead(caption) OVER o) AS nb FROM captions c JOIN ctx1 USING (plan_id) WINDOW o AS (PARTITION BY plan_id ORDER BY scene_idx)),"""
 sql("scenes_built", SCENES_CTX + described("near", "gctx", "nb", "contains(gctx, 'historical archival')"), f"""SELECT plan_id, scene_idx, start_ms, end_ms, qs[1] AS query, array_to_string(qs, '|') AS queries, descr AS visual_description, CASE WHEN lk THEN 'image' ELSE vm END AS visual_mode, CASE WHEN lk THEN 'historical_archive' ELSE sm END AS source_mode, mp AS motion_preset, lk AS semantic_lock, tone FROM described""")
 
+GRAMMAR = "CASE " + " ".join(
+    f"WHEN role = {lit(r)} THEN {{{{'q': {texts(q)}, 'd': {lit(d)}, 'm': {lit(m)}, 's': {lit(sm)}}}}}".replace("{{", "{").replace("}}", "}") for r, (q, d, m, sm) in P.GRAMMAR.items()
+)
+tell = lambda a, b: f"CASE WHEN story THEN {texts(a)} ELSE {texts(b)} END"
+GRAMMAR += (
+    f" WHEN role = 'army' THEN {{'q': {tell(P.ARMY_STORY, P.ARMY_PLAIN)}, 'd': {lit(P.GRAMMAR_ARMY)}, 'm': 'image', 's': 'historical_archive'}}"
+    f" WHEN role = 'aftermath' THEN {{'q': {tell(P.AFTERMATH_STORY, P.AFTERMATH_PLAIN)}, 'd': {lit(P.GRAMMAR_AFTERMATH)}, 'm': 'image', 's': CASE WHEN story THEN 'historical_archive' ELSE sm END}}"
+    f" WHEN role = 'battle' THEN {{'q': {tell(P.BATTLE_STORY, P.BATTLE_PLAIN)}, 'd': {lit(P.GRAMMAR_BATTLE)}, 'm': 'image', 's': 'historical_archive'}} END"
+)
+SIG = "array_to_string(list_slice(list_filter(regexp_extract_all(lower({0}), '[a-zа-яё][a-zа-яё-]{{2,}}'), lambda t: NOT list_contains([" + ", ".join(lit(w) for w in T.SIGNATURE_STOP) + "], t)), 1, 4), ' ')"
+from .oracle import VARY  # noqa: E402
+
+sql("beat_grammar", DESC, f""", st AS (SELECT plan_id, bool_or({has('t', R.TAIPING_STORY)}) AS story FROM described GROUP BY 1),
+g0 AS (SELECT d.* EXCLUDE (role), story, {role_case('t', *DEFAULT_ROLES)} AS role FROM described d JOIN st USING (plan_id)),
+g1 AS (SELECT *, CASE WHEN NOT lk THEN {GRAMMAR} END AS g, {VARY} AS vq FROM g0),
+g2 AS (SELECT *, list_concat(g.q, qs) AS al FROM g1),
+g3 AS (SELECT *, CASE WHEN g IS NOT NULL THEN {dedup_list('al', 5)} ELSE qs END AS nq FROM g2),
+g4 AS (SELECT *, {SIG.format('nq[1]')} AS sig, {SIG.format('vq')} AS vsig, list_concat([vq], nq) AS vl FROM g3),
+g5 AS (SELECT *, {dedup_list('vl', 5)} AS vqs FROM g4),
+w AS (SELECT plan_id, scene_idx, false AS vr, sig AS s, lk FROM g5 WHERE scene_idx = 0
+  UNION ALL SELECT n.plan_id, n.scene_idx, NOT n.lk AND NOT w.lk AND n.sig <> '' AND n.sig = w.s AND n.vq <> '', CASE WHEN NOT n.lk AND NOT w.lk AND n.sig <> '' AND n.sig = w.s AND n.vq <> '' THEN n.vsig ELSE n.sig END, n.lk
+  FROM w JOIN g5 n ON n.plan_id = w.plan_id AND n.scene_idx = w.scene_idx + 1)
+SELECT g5.plan_id, g5.scene_idx, CASE WHEN vr THEN vqs[1] ELSE nq[1] END AS query, array_to_string(CASE WHEN vr THEN vqs ELSE nq END, '|') AS queries, coalesce(g.d, descr) AS visual_description, coalesce(g.m, vm) AS visual_mode, coalesce(g.s, sm) AS source_mode, mp AS motion_preset, g IS NOT NULL OR vr AS rewritten
+FROM g5 JOIN w USING (plan_id, scene_idx)""")
+
+sql("lexicon_table", "", """WITH n AS (SELECT needle, CAST(count(*) AS INT) AS c FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS needle FROM benchmark) WHERE length(needle) > 5 GROUP BY 1)
+SELECT conv_id || ':' || turn AS key, 'words' AS ruleset, arg_min(needle, (-c, needle)) AS label FROM conversations JOIN n ON contains(lower(text), needle) GROUP BY 1, 2""")
+
 # --- reports ----------------------------------------------------------------------------
 
 sql("manifest_stats", "", """SELECT user_id AS plan_id, count(*) FILTER (event_id % 4 > 0) AS judged, count(*) FILTER (event_id % 4 > 0 AND event_id % 3 = 0) AS accepted, CAST(sum(CASE WHEN event_id % 5 > 0 THEN event_id % 3 ELSE 0 END) AS BIGINT) AS rejected,

@@ -100,7 +100,7 @@ class Views:
 
     def _shots(self) -> DataFrame:
         e = dense_pos(
-            self.table("events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "scene_pos"
+            self.table("events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), "scene_pos"
         )
         i, s = F.col("event_id"), F.col("scene_pos")
         start = s * 1500 + (i % 7) * 50
