@@ -332,10 +332,13 @@ def source_allowed(locked: Column, mode: Column, source: Column, kind: Column) -
 
 def bad_title(title: Column, description: Column) -> Column:
     """First unwanted whole-word term of a title and description, in list order; null when clean."""
-    hay = F.lower(F.concat_ws(" ", blank(title), blank(description)))
-    return F.coalesce(
-        *[F.when(hay.rlike(rf"(?U)(?<!\w){term}(?!\w)"), F.lit(term)) for term in R.BAD_TITLE_TERMS]
-    )
+
+    def found(hay: Column) -> Column:
+        # The plain substring test spares most texts the pattern.
+        whole = lambda t: F.contains(hay, F.lit(t)) & hay.rlike(rf"(?U)(?<!\w){t}(?!\w)")
+        return F.coalesce(*[F.when(whole(t), F.lit(t)) for t in R.BAD_TITLE_TERMS])
+
+    return let(F.lower(F.concat_ws(" ", blank(title), blank(description))), found)
 
 
 def tone_hint(tone: Column) -> Column:

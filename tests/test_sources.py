@@ -79,7 +79,7 @@ def test_overlay_lines(spark):
 
 def test_full_entity_table(spark):
     df = spark.createDataFrame([("<b>caf&eacute;</b> &amp;&copy;",)], "t string")
-    assert df.select(T.clean_html(F.col("t"), full_entities=True)).first()[0] == "café &©"
+    assert df.select(T.clean_html(F.col("t"), full_entities=True)).first()[0] == "café  &©"
 
 
 def test_stream_equals_batch(spark, tmp_path):
