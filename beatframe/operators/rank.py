@@ -20,23 +20,49 @@ SCENE = ["plan_id", "scene_idx"]
 STOCK = ("pexels", "pixabay")
 
 
-def search_library(queries: DataFrame, library: DataFrame, k: int = 12) -> DataFrame:
+def search_library(queries: DataFrame, library: DataFrame, k: int = 12, common: int = 100_000) -> DataFrame:
     """Top ``k`` library files per query by shared tokens of name and folders.
 
     ``queries`` has ``query_id, query``; ``library`` has ``cand_id, name, folders,
     kind``. Files that share no token fill up the tail. Returns ``query_id, place,
     cand_id, score``.
+
+    Tokens found in more than ``common`` files are looked up only for the queries
+    that need them: those whose ``k``-th file by rarer tokens does not beat the best
+    score that common tokens alone could give.
     """
     bonus = F.when(F.col("kind") == "video", 2.5).otherwise(0.0)
-    files = library.select("cand_id", bonus.alias("base"), "name", "folders")
     fold = lambda c: tokens(F.translate(F.col(c), "_-", "  "))
-    named = files.select("cand_id", "base", F.explode(fold("name")).alias("token"), F.lit(8.0).alias("weight"))
-    filed = files.select("cand_id", "base", F.explode(tokens(F.col("folders"))).alias("token"), F.lit(2.0).alias("weight"))
-    index = named.unionByName(filed).groupBy("token", "cand_id", "base").agg(F.sum("weight").alias("weight"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    hits = asked.join(index, "token").groupBy("query_id", "cand_id").agg((F.sum("weight") + F.first("base")).alias("score"))
+    files = library.select("cand_id", bonus.alias("base"), fold("name").alias("nt"), tokens(F.col("folders")).alias("ft"))
+    index = files.select("cand_id", F.explode(F.array_union("nt", "ft")).alias("token"))
+    asks = queries.select("query_id", tokens(F.col("query")).alias("qt"))
+    asked = asks.select("query_id", F.explode("qt").alias("token"))
+    often = index.groupBy("token").count().filter(F.col("count") > common).select("token")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
-    top = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+    def scored(words: DataFrame) -> DataFrame:
+        """Full scores of all files that share one of the given query words."""
+        pairs = words.join(index, "token").select("query_id", "cand_id").distinct()
+        j = pairs.join(files, "cand_id").join(asks, "query_id")
+        score = F.size(F.array_intersect("qt", "nt")) * 8.0 + F.size(F.array_intersect("qt", "ft")) * 2.0 + F.col("base")
+        return j.select("query_id", "cand_id", score.alias("score"))
+
+    if often.limit(1).isEmpty():
+        named = files.select("cand_id", "base", F.explode("nt").alias("token"), F.lit(8.0).alias("weight"))
+        filed = files.select("cand_id", "base", F.explode("ft").alias("token"), F.lit(2.0).alias("weight"))
+        hits = asked.join(named.unionByName(filed), "token").groupBy("query_id", "cand_id").agg((F.sum("weight") + F.first("base")).alias("score"))
+        top = best(hits).drop("place")
+    else:
+        rare = checkpoint(best(scored(asked.join(often, "token", "left_anti"))).drop("place"))
+        plain = checkpoint(asked.join(often, "token"))
+        limit = plain.groupBy("query_id").agg((F.count(F.lit(1)) * 10.0 + 2.5).alias("bound"))
+        reached = rare.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+        open_ = limit.join(reached, "query_id", "left").filter(F.col("n").isNull() | (F.col("n") < k) | (F.col("kth") <= F.col("bound")))
+        more = scored(plain.join(open_.select("query_id"), "query_id", "left_semi"))
+        top = best(rare.unionByName(more).distinct()).drop("place")
 
     # The best k files by kind alone; a matching one among them ranks above its own tail entry.
     tail = [(r["cand_id"], r["base"]) for r in files.orderBy(F.desc("base"), "cand_id").select("cand_id", "base").limit(k).collect()]
@@ -45,7 +71,7 @@ def search_library(queries: DataFrame, library: DataFrame, k: int = 12) -> DataF
         items = F.array(*[F.struct(F.lit(i).cast(id_type).alias("cand_id"), F.lit(b).alias("score")) for i, b in tail])
         rest = queries.select("query_id", F.inline(items))
         top = top.unionByName(rest).groupBy("query_id", "cand_id").agg(F.max("score").alias("score"))
-    return top.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "place", "cand_id", "score")
+    return best(top).select("query_id", "place", "cand_id", "score")
 
 
 def union_providers(*tables: DataFrame, keys: list[str] = SCENE, want_video: Column | None = None) -> DataFrame:

@@ -147,3 +147,11 @@ def test_validate_words_running_maximum_across_blocks(spark):
     w = words_of(spark, [(1, 50)])
     w = w.withColumn("start_ms", F.when(F.col("idx") % 9 == 8, F.col("start_ms") - 2000).otherwise(F.col("start_ms")))
     assert rows(V.validate_words(w, size=4)) == rows(V.validate_words(w))
+
+
+def test_search_looks_up_common_tokens_only_where_needed(spark):
+    rnd = random.Random(4)
+    words = ["the", "of"] * 6 + [f"w{i}" for i in range(30)]
+    lib = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=5)), rnd.choice(["the", "x"]), rnd.choice(["video", "image"])) for i in range(150)], "cand_id long, name string, folders string, kind string")
+    q = spark.createDataFrame([(1, "the of"), (2, "the w1 w2 w3"), (3, "w4"), (4, "nothing here"), (5, "the of w9 w8")], "query_id int, query string")
+    assert rows(K.search_library(q, lib, 6, common=20)) == rows(K.search_library(q, lib, 6))
