@@ -355,6 +355,30 @@ ctx1 AS (SELECT plan_id, {has('t', R.HISTORY_STEMS)} AS hist, list_filter([{', '
 near AS (SELECT c.*, array_to_string(p, ' ') AS gctx, concat_ws(' ', lag(caption) OVER o, caption, lead(caption) OVER o) AS nb FROM captions c JOIN ctx1 USING (plan_id) WINDOW o AS (PARTITION BY plan_id ORDER BY scene_idx)),"""
 sql("scenes_built", SCENES_CTX + described("near", "gctx", "nb", "contains(gctx, 'historical archival')"), f"""SELECT plan_id, scene_idx, start_ms, end_ms, qs[1] AS query, array_to_string(qs, '|') AS queries, descr AS visual_description, CASE WHEN lk THEN 'image' ELSE vm END AS visual_mode, CASE WHEN lk THEN 'historical_archive' ELSE sm END AS source_mode, mp AS motion_preset, lk AS semantic_lock, tone FROM described""")
 
+BOIL = T.ACTION_BOILERPLATE
+
+
+def action_clean(c: str) -> str:
+    return f"substring({squash(wrap(BOIL, wrap(BOIL, edges(c))))}, 1, 120)"
+
+
+def hit_rules(col: str, placed: bool) -> str:
+    """Query lists of the rules that hit, by first place in the text or in rule order."""
+    parts = []
+    for i, (needles, queries) in enumerate(P.ACTION_RECIPES):
+        at = "least(" + ", ".join(f"nullif(strpos({col}, {lit(n)}), 0)" for n in needles) + ")" if placed else "0"
+        parts.append(f"CASE WHEN {has(col, needles)} THEN {{'p': CAST({at} AS BIGINT), 'i': {i}, 'q': {texts(queries)}}} END")
+    return f"flatten(list_transform(list_sort(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)), lambda x: x.q))"
+
+
+sql("action_first", DESC, f""", a0 AS (SELECT *, NOT lk AND sm <> 'historical_archive' AND NOT (vm = 'meme' AND sm = 'meme_library') AS on_, {hit_rules('t', True)} AS r1, lower(qs[1] || ' ' || array_to_string(qs, ' ')) AS wide, list_transform(qs, lambda x: {action_clean('x')}) AS cq FROM described),
+a1 AS (SELECT *, CASE WHEN len(r1) > 0 THEN r1 ELSE {hit_rules('wide', False)} END AS rl, {dedup_list('cq', 3)} AS mine FROM a0),
+a15 AS (SELECT *, flatten(list_transform(mine, lambda b: CASE WHEN regexp_matches(lower(b), {lit('|'.join(R.ACTION_VERBS))}) THEN [b] ELSE ['person interacting with ' || b, 'hands using ' || b || ' close up', b || ' real action footage'] END)) AS wr FROM a1),
+a16 AS (SELECT *, list_concat(rl, wr) AS rw FROM a15),
+a2 AS (SELECT *, list_concat(list_transform(rw, lambda x: {action_clean('x')}), cq) AS al FROM a16),
+a3 AS (SELECT *, CASE WHEN on_ THEN {dedup_list('al', 9)} ELSE qs END AS nq, regexp_replace(regexp_replace(descr, '^[ .]+', ''), '[ .]+$', '') AS base FROM a2)
+SELECT {OUT.format(q='nq[1]', qs='nq', d=f"CASE WHEN on_ THEN substring(base || '. ' || {lit(P.ACTION_MARKER)} || ' ' || {lit(P.ACTION_NOTE)}, 1, 700) ELSE descr END", vm="CASE WHEN on_ THEN 'video' ELSE vm END", sm="CASE WHEN on_ THEN 'stock_video' ELSE sm END", mp="CASE WHEN on_ THEN 'none' ELSE mp END")} FROM a3""")
+
 GRAMMAR = "CASE " + " ".join(
     f"WHEN role = {lit(r)} THEN {{{{'q': {texts(q)}, 'd': {lit(d)}, 'm': {lit(m)}, 's': {lit(sm)}}}}}".replace("{{", "{").replace("}}", "}") for r, (q, d, m, sm) in P.GRAMMAR.items()
 )
