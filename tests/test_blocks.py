@@ -155,3 +155,24 @@ def test_search_looks_up_common_tokens_only_where_needed(spark):
     lib = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=5)), rnd.choice(["the", "x"]), rnd.choice(["video", "image"])) for i in range(150)], "cand_id long, name string, folders string, kind string")
     q = spark.createDataFrame([(1, "the of"), (2, "the w1 w2 w3"), (3, "w4"), (4, "nothing here"), (5, "the of w9 w8")], "query_id int, query string")
     assert rows(K.search_library(q, lib, 6, common=20)) == rows(K.search_library(q, lib, 6))
+
+
+def test_resolution_equals_choosing_scene_by_scene(spark):
+    """Five checks per scene over what earlier scenes left, against a loop in order."""
+    from beatframe.plans.resolve import resolve
+
+    rnd, pool = random.Random(11), []
+    for s in range(8):
+        for place, c in enumerate(rnd.sample(range(14), 9), 1):
+            pool.append((1, s, place, c, f"u{c}", "t", "d", rnd.randint(0, 40) / 2.0))
+    df = spark.createDataFrame(pool, "plan_id long, scene_idx int, place int, cand_id long, download_url string, title string, description string, score double")
+    scenes = spark.createDataFrame([(1, s, False, "neutral", "x") for s in range(8)], "plan_id long, scene_idx int, semantic_lock boolean, tone string, scene_text string")
+    guard = spark.createDataFrame([(c, 100 if c % 5 else 20, []) for c in range(14)], "cand_id long, guard_score int, issues array<string>")
+    used, want = set(), []
+    for s in range(8):
+        seen = [r for r in pool if r[1] == s and r[3] not in used and r[3] % 5][:5]
+        best = max(seen, key=lambda r: (r[7], -r[2]), default=None)
+        want.append((s, best[3] if best else None))
+        used.add(best[3] if best else None)
+    got = resolve(scenes, {"exact": df}, guard).select("scene_idx", "cand_id").collect()
+    assert sorted(map(tuple, got)) == want
