@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from beatframe.llm import bpe
+from beatframe.llm import bpe, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +27,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document's ids and of what they decode to."""
     return bpe.byte_bpe(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
