@@ -88,6 +88,42 @@ def _block_hashes(part: np.ndarray, table: np.ndarray, powers: np.ndarray, space
     return mix((sums[ends] - sums[starts]) * powers[1, starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
+def letters_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of letters and digits of a UTF-8 text of at most one block: prefix sums of the polynomial, starts and ends.
+
+    A to Z are folded; every byte from 128 on counts as a letter."""
+    if not _READY:
+        _READY.append(_tables())
+    _, folded, powers, _ = _READY[0]
+    part = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(part) + 2, np.int8)
+    inside[1:-1] = _LETTER[part]
+    edges = np.flatnonzero(np.diff(inside))
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(folded[part] * powers[0, : len(part)], out=sums[1:])
+    return sums, edges[::2], edges[1::2]
+
+
+_LETTER = np.array([b >= 128 or 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 for b in range(256)])
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hashes of the spans of one block whose prefix sums letters_of gave; equal spans have equal hashes wherever they stand."""
+    return mix((sums[ends] - sums[starts]) * _READY[0][2][1, starts] + (ends - starts + (salt << 32)).astype(np.uint64) * _STEP)
+
+
+def blocks_of(data: bytes) -> Iterator[bytes]:
+    """A text in blocks that hashing tables cover, cut after white space where there is some."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + _BLOCK)
+        if end < len(data):
+            gap = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+            end = gap + 1 if gap > at else end
+        yield data[at:end]
+        at = end
+
+
 def chained(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n consecutive words."""
     if len(words) < n:

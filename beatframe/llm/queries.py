@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from beatframe.llm import bpe, packing
+from beatframe.llm import bpe, packing, quality, samples, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,22 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality; labels are learnt only where crc32(doc_id) mod 3 is not 1."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = samples.fold_of("doc_id", 3)
+    model = quality.fit(docs, labels.where(fold != 1))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity; labels are learnt only where crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = samples.fold_of("doc_id", 5)
+    lists = toxicity.fit(docs, labels.where(fold != 0))
+    return toxicity.score(docs, lists, evidence=False).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
