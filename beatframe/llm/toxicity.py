@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatframe.llm import samples
-from beatframe.llm.common import blocks_of, letters_of, span_hashes, text_bytes
+from beatframe.llm.common import blocks_of, cut, letters_of, span_hashes, text_bytes
 from beatframe.llm.quality import platt
 
 LIMIT = 3000  # labelled documents of each class that serve as examples, at most
@@ -20,19 +20,28 @@ TERMS = 8192  # terms that are compared, at most: those most tied to the class
 NEAREST = 25
 BLOCK = 64  # examples under one bound of a list
 _STEMS = (4, 5, 6)  # bytes of a longer word that also count as a term
-_LEAST, _RATIO, _SIGMAS = 5, 2.0, 3.0  # documents of the class, log ratio of shares and deviations that a term needs
+_LEAST, _RATIO = 6, 2.5  # documents and contexts of the class, log ratio of shares that a term needs
 
 
-def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms (words in small letters, and beginnings of longer words) of a whole text, with their counts."""
-    found = []
+def occurrences(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All terms (words in small letters, and beginnings of longer words) of a whole text, each with the hash of the word before."""
+    found, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for part in blocks_of(data):
         sums, starts, ends = letters_of(part)
-        found.append(span_hashes(sums, starts, ends))
+        words = span_hashes(sums, starts, ends)
+        previous = np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
+        found.append(words)
+        before.append(previous)
         for n in _STEMS:
-            long = starts[ends - starts > n]
-            found.append(span_hashes(sums, long, long + n, salt=n))
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            long = ends - starts > n
+            found.append(span_hashes(sums, starts[long], starts[long] + n, salt=n))
+            before.append(previous[long])
+    return np.concatenate(found), np.concatenate(before)
+
+
+def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a whole text with their counts."""
+    return np.unique(occurrences(data)[0], return_counts=True)
 
 
 @dataclass
@@ -131,16 +140,25 @@ def build(vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.nd
 
 
 def _vocabulary(chosen: DataFrame, text: str, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The terms most tied to the class among the examples, with the number of examples that hold each."""
+    """The terms most tied to the class among the examples, with the number of examples that hold each.
+
+    Words of a text that was copied often would look tied to the class of its copies. They follow the same word in every copy, so
+    a term must also follow several different words; 64 bits per term, set by the hash of the word before, tell that."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
-            found = [terms(x)[0] for x in text_bytes(batch.column(0))]
-            sizes = [len(x) for x in found]
-            hashes, place = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            of = np.repeat(toxic, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.bincount(place, of > 0, len(hashes)).astype(np.int64)), pa.array(np.bincount(place, of == 0, len(hashes)).astype(np.int64))], names=["term", "a", "b"])
+            found = [occurrences(x) for x in text_bytes(batch.column(0))]
+            all_terms, before = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.uint64)]) for i in (0, 1))
+            example = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            order = np.lexsort((example, all_terms))
+            all_terms, example = all_terms[order], example[order]
+            bits = np.where(toxic[example] > 0, np.uint64(1) << (before[order] & np.uint64(63)), np.uint64(0)) if len(example) else np.zeros(0, np.uint64)
+            new = np.flatnonzero(np.append(True, all_terms[1:] != all_terms[:-1])[: len(all_terms)])
+            once = np.append(True, (all_terms[1:] != all_terms[:-1]) | (example[1:] != example[:-1]))[: len(all_terms)]
+            counts = [np.add.reduceat((once & (toxic[example] == y)).astype(np.int64), new) if len(new) else np.zeros(0, np.int64) for y in (1, 0)]
+            follow = np.bitwise_or.reduceat(bits, new) if len(new) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(all_terms[new].view(np.int64)), *(pa.array(c) for c in counts), pa.array(follow.view(np.int64))], names=["term", "a", "b", "follows"])
 
     counts = {r.y: r.n for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -150,8 +168,11 @@ def _vocabulary(chosen: DataFrame, text: str, limit: int) -> tuple[np.ndarray, n
     ratio = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     pooled = (F.col("a") + F.col("b")) / (n1 + n0)
     sigmas = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    found = chosen.select(text, "y").mapInArrow(run, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    tied = found.where((F.col("a") >= _LEAST) & (ratio >= _RATIO) & (sigmas >= _SIGMAS)).select("term", (F.col("a") + F.col("b")).alias("n"), sigmas.alias("z"))
+    found = chosen.select(text, "y").mapInArrow(run, "term long, a long, b long, follows long")
+    found = found.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.bit_count(F.bit_or("follows")).alias("contexts"))
+    found = cut(found.where(F.col("a") + F.col("b") >= _LEAST))
+    chance = float(np.sqrt(2 * np.log(max(2, found.count()))))  # deviations that the luckiest of so many untied terms reaches
+    tied = found.where((F.col("a") >= _LEAST) & (F.col("contexts") >= _LEAST) & (ratio >= _RATIO) & (sigmas >= chance)).select("term", (F.col("a") + F.col("b")).alias("n"), sigmas.alias("z"))
     rows = tied.orderBy(F.desc("z"), "term").limit(limit).collect()
     hashes = np.array([r.term for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
