@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 CACHED = 1 << 19  # words whose ids a worker keeps; the cache is emptied when it is full
 _LONGEST = 48  # longer words are not kept
+_TOGETHER = 1 << 19  # characters of texts that are encoded in one call, and what the last of them has more
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -76,8 +79,7 @@ class ByteBpe:
         self.bytes_of = [bytes(bytearray(token)) for token in self._inverse(letters)]
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
-        self.cache: dict[str, bytes] = {}
-        self.spaced = _Spaced(self)
+        self.cache: dict[str, bytes] = {}  # ids of a part with the space before it
 
     def _inverse(self, letters: list[str]) -> Iterator[bytes]:
         byte = {c: i for i, c in enumerate(letters)}
@@ -85,40 +87,39 @@ class ByteBpe:
             piece = "".join(letters[b] for b in token)
             yield bytes(byte[c] for c in piece)
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of each match of the pattern, one after the other, as little-endian unsigned 32-bit integers."""
-        pieces = [m.encode().decode("latin-1").translate(self.latin) for m in self.pattern.findall(text)]
-        return np.array([i for ids in self.model.encode(pieces, out_type=int, num_threads=1) for i in ids], "<u4").tobytes() if pieces else b""
-
-    def encode(self, text: str) -> bytes:
-        """A text without two spaces in a row, and without one at an end, is cut before each space: the pattern never joins
-        what stands on both sides of such a cut, so each part is encoded by itself, and parts seen before are looked up."""
-        parts = text.split(" ")
-        if "" in parts:
-            return self._plain(text)
-        spaced = self.spaced
-        if len(spaced) > CACHED:
-            spaced.clear()
-        return self._plain(parts[0]) + b"".join(map(spaced.__getitem__, parts[1:]))
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """For each text the ids of its matches of the pattern, one after the other, as little-endian unsigned 32-bit integers."""
+        found = [self.pattern.findall(text) for text in texts]
+        pieces = [m.encode().decode("latin-1").translate(self.latin) for matches in found for m in matches]
+        ids = iter(self.model.encode(pieces, out_type=int, num_threads=1) if pieces else [])
+        return [array("I", itertools.chain.from_iterable(itertools.islice(ids, len(matches)))).tobytes() for matches in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. A text without two spaces in a row, and without one at an end, is cut before each space: the
+        pattern never joins what stands on both sides of such a cut, so each part is encoded by itself. What the cache lacks
+        is encoded in one call for all texts."""
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        cache, own = self.cache, {}
+        parts = [text.split(" ") for text in texts]
+        whole = [i for i, p in enumerate(parts) if "" in p]
+        for i in whole:
+            parts[i] = []
+        new = list({x for p in parts for x in p[1:] if x not in cache})
+        first = [p[0] if p else text for p, text in zip(parts, texts, strict=True)]
+        made = self._plain(first + [" " + x for x in new])
+        for x, ids in zip(new, made[len(first) :], strict=True):
+            (cache if len(x) <= _LONGEST else own)[x] = ids
+        if own:
+            get = lambda x: own[x] if x in own else cache[x]
+        else:
+            get = cache.__getitem__
+        return [a + b"".join(map(get, p[1:])) for a, p in zip(made, parts, strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Spaced(dict):
-    """Ids of a part with the space before it."""
-
-    def __init__(self, bpe: ByteBpe) -> None:
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.bpe._plain(" " + part)
-        if len(part) <= _LONGEST:
-            self[part] = ids
-        return ids
-
-
 _BUILT: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -128,6 +129,18 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _BUILT[path, pattern]
 
 
+def encoded(bpe: ByteBpe, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text of a column, null as empty, encoded a few texts at a time."""
+    some, size = [], 0
+    for value in texts:
+        some.append(value.as_py() or "")
+        size += len(some[-1])
+        if size >= _TOGETHER:
+            yield from bpe.encode(some)
+            some, size = [], 0
+    yield from bpe.encode(some)
+
+
 _OUT = {
     "ids": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType())),
     "decoded": (pa.binary(), T.BinaryType()),
@@ -154,8 +167,7 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, keep: Iterable[str]
         bpe = codec(vocabulary, pattern)
         for batch in batches:
             made: dict[str, list] = {o: [] for o in outputs}
-            for value in batch.column(len(keep)):
-                ids = bpe.encode(value.as_py() or "")
+            for ids in encoded(bpe, batch.column(len(keep))):
                 if "ids" in made:
                     made["ids"].append(np.frombuffer(ids, "<u4").astype("i4"))
                 if "n_tokens" in made:
