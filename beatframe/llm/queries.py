@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from beatframe.llm import bpe, packing, quality, samples, toxicity
+from beatframe.llm import bpe, jaccard, packing, quality, samples, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,23 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     fold = samples.fold_of("doc_id", 5)
     lists = toxicity.fit(docs, labels.where(fold != 0))
     return toxicity.score(docs, lists, evidence=False).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document under links of Jaccard 0.75 or more between 5-word shingles."""
+    return jaccard.link(table(spark, folder, "documents"))
+
+
+#: Links by a join on shared shingles; every pair that shares one is compared.
+ORACLE["op2_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS g FROM w),
+f AS (SELECT doc_id, unnest(g) AS x FROM s),
+m AS (SELECT x, min(doc_id) AS m FROM f GROUP BY x HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id WHERE a.x IN (SELECT x FROM m) GROUP BY ALL),
+e AS (SELECT p.u, p.v FROM p JOIN s a ON a.doc_id = p.u JOIN s b ON b.doc_id = p.v WHERE 100 * c >= 75 * (len(a.g) + len(b.g) - c)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reach)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.reach) AS component_id FROM s JOIN r USING (doc_id) GROUP BY ALL
+"""
