@@ -8,13 +8,14 @@ import itertools
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED = 1 << 19  # words whose ids a worker keeps; the cache is emptied when it is full
+CACHED = 1 << 20  # words whose ids a worker keeps; the cache is emptied when it is full
 _LONGEST = 48  # longer words are not kept
 _TOGETHER = 1 << 19  # characters of texts that are encoded in one call, and what the last of them has more
 
@@ -129,16 +130,16 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _BUILT[path, pattern]
 
 
-def encoded(bpe: ByteBpe, texts: pa.Array) -> Iterator[bytes]:
+def encoded(codec: Any, texts: pa.Array) -> Iterator[bytes]:
     """The ids of each text of a column, null as empty, encoded a few texts at a time."""
     some, size = [], 0
     for value in texts:
         some.append(value.as_py() or "")
         size += len(some[-1])
         if size >= _TOGETHER:
-            yield from bpe.encode(some)
+            yield from codec.encode(some)
             some, size = [], 0
-    yield from bpe.encode(some)
+    yield from codec.encode(some)
 
 
 _OUT = {

@@ -11,33 +11,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beatframe.llm.bpe import encoded
+
 SIZE = 4096
 END = 2  # the id after each document
 GROUP = 4096  # documents of a group, on average
-CACHED = 1 << 19  # words whose ids a worker keeps; the cache is emptied when it is full
+CACHED = 1 << 20  # words whose ids a worker keeps; the cache is emptied when it is full
 _LONGEST = 48  # longer words are not kept
 
 
-class Words(dict):
-    """Ids of parts between spaces, as little-endian unsigned 32-bit integers. The tokenizer drops white space and joins
-    nothing across it, so the ids of a text are those of its parts."""
+class Words:
+    """Ids of texts as little-endian unsigned 32-bit integers. The tokenizer drops white space and joins nothing across it, so
+    the ids of a text are those of its parts between spaces; parts seen before are looked up."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= _LONGEST:
-            self[part] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > CACHED:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of new parts. Capitals have the ids of small letters, and a full stop or comma after a letter is a word by itself,
+        so many a part is made of known ones; parts of letters only are encoded in one call and told apart by the ids that end words."""
+        cache, own = self.cache, {}
+        made, need = [], set()
+        for part in parts:
+            core = part.lower() if part.isascii() else part
+            tail = ""
+            if len(core) > 1 and core[-1] in ".," and core[-2].lower()[-1].isalpha():
+                core, tail = core[:-1], core[-1]
+                if tail not in cache:
+                    need.add(tail)
+            made.append((part, core, tail))
+            if core not in cache:
+                need.add(core)
+        letters = [x for x in need if x.isalpha() and x.lower().isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) == len(letters):
+                flat = ids.tobytes()
+                own.update((x, flat[a:b]) for x, a, b in zip(letters, [0, *ends[:-1]], ends, strict=True))
+                need.difference_update(letters)
+        own.update((x, self._ids(x)) for x in need)
+        for part, core, tail in made:
+            ids = own[core] if core in own else cache[core]
+            own[part] = ids + (own[tail] if tail in own else cache[tail]) if tail else ids
+        return own
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        cache = self.cache
+        parts = [text.split(" ") for text in texts]
+        new = {x for p in parts for x in p if x not in cache}
+        found = self._learn(new) if new else {}
+        long = {x: ids for x, ids in found.items() if len(x) > _LONGEST}
+        cache.update(found)
+        out = [b"".join(map(cache.__getitem__, p)) for p in parts]
+        for x in long:
+            del cache[x]
+        return out
 
 
 _WORDS: dict[str, Words] = {}
@@ -66,8 +106,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         for batch in batches:
             at: list[int] = []
             made: list[list] = [[] for _ in names]
-            for i, value in enumerate(batch.column(1)):
-                ids = own.encode(value.as_py() or "") + last
+            for i, ids in enumerate(encoded(own, batch.column(1))):
+                ids += last
                 for start in range(0, len(ids), step):
                     piece = ids[start : start + step]
                     at.append(i)
