@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, jaccard, packing, quality, samples, toxicity
+from beatframe.llm import bpe, jaccard, language, packing, quality, samples, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +73,13 @@ e AS (SELECT p.u, p.v FROM p JOIN s a ON a.doc_id = p.u JOIN s b ON b.doc_id = p
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reach)
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.reach) AS component_id FROM s JOIN r USING (doc_id) GROUP BY ALL
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language, confidence and decision for every document (page_id null) and every page (doc_id null)."""
+    docs = table(spark, folder, "documents")
+    likelihoods = language.learn(docs)
+    first = language.identify_documents(docs, likelihoods).withColumn("page_id", F.lit(None).cast("long"))
+    second = language.identify_pages(table(spark, folder, "pages"), likelihoods).withColumn("doc_id", F.lit(None).cast("long"))
+    return first.unionByName(second).select("doc_id", "page_id", "language", "confidence", "kept")
