@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, jaccard, language, packing, quality, samples, toxicity
+from beatframe.llm import bpe, jaccard, language, packing, quality, samples, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,16 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     first = language.identify_documents(docs, likelihoods).withColumn("page_id", F.lit(None).cast("long"))
     second = language.identify_pages(table(spark, folder, "pages"), likelihoods).withColumn("doc_id", F.lit(None).cast("long"))
     return first.unionByName(second).select("doc_id", "page_id", "language", "confidence", "kept")
+
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest rows found for every vector whose vec_id is divisible by 100."""
+    rows = table(spark, folder, "embeddings")
+    return vectors.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query
+def op8_vector_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9 or more."""
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
