@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, jaccard, language, packing, quality, samples, toxicity, vectors
+from beatframe.llm import bpe, jaccard, language, licenses, packing, quality, samples, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op8_vector_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector at a cosine of 0.9 or more."""
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every license notice in every document."""
+    return licenses.scan(table(spark, folder, "documents"))
