@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, jaccard, language, licenses, packing, quality, samples, toxicity, vectors
+from beatframe.llm import bpe, jaccard, language, licenses, maintext, packing, quality, samples, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +102,10 @@ def op8_vector_near_dups(spark: SparkSession, folder: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every license notice in every document."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages")
+    return maintext.extract(pages, maintext.fit(pages))
