@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatframe.llm.common import chained, components, cut, mix, text_bytes, word_hashes
+from beatframe.llm.common import chained, components, cut, forest_of, mix, text_bytes, word_hashes
 
 WORDS = 5
 _SLOTS = 4
@@ -269,7 +269,8 @@ def blocks_beside(rows: DataFrame) -> DataFrame:
 
 
 def held_against(blocks: DataFrame, against: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Links (a, b) between the sets of a block and those held against it, by their exact intersections.
+    """Links between the sets of a block and those held against it, by their exact intersections: of what is linked in a group of rows a
+    spanning forest (a, b), so that copies are not expanded into pairs.
 
     blocks: beside, set_key; against: beside, set_key; sets: set_key, features (sorted, 8 bytes each). A block with many sets against it
     goes to several groups, each with the block's own sets again."""
@@ -294,7 +295,9 @@ def held_against(blocks: DataFrame, against: DataFrame, sets: DataFrame, bands:
                 linked = (bands.den * common >= bands.num * (sizes + len(x) - common)) & (keys[mine] != keys[i])
                 a += [keys[i]] * int(linked.sum())
                 b += keys[mine[linked]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        names, at = np.unique(np.array(a + b, np.int64), return_inverse=True)
+        root = names[forest_of(len(names), at[: len(a)], at[len(a) :])]
+        return pa.table({"a": names[names != root], "b": root[names != root]})
 
     return own.union(other).groupBy("beside", "share").applyInArrow(run, "a long, b long")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatframe.llm.common import components, cut
+from beatframe.llm.common import components, cut, forest_of
 
 TREES = 48
 ROWS = 16_384  # of a shard of the forest, on average
@@ -317,19 +317,6 @@ class SmallWorld:
         return np.where(found >= 0, at, -1), cos
 
 
-def forest_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node that pairs reach from each of n nodes."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
     """key, n_links, component_id and kept of each row: links are pairs with a cosine of at least `least` in double precision.
 
