@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from beatframe.llm.common import cut
 
 PAGES = 600  # whose markup tells the article, to learn from, at most
-ROUNDS, DEPTH = 20, 4
-_SWITCH = 1.5  # what it costs to begin the article at a node, or to leave out a part of it
+ROUNDS, DEPTH = 30, 5
+_BEGIN, _LEAVE = 5.0, 4.0  # what it costs to begin the article at a node, and to leave out a part of it
 #: Elements that are part of a line, those whose content is never shown as text, and those without content.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video map select datalist textarea button".split())
@@ -228,10 +228,11 @@ class Page:
         out[:, at + 4], out[:, at + 5] = boiler, main
         return out
 
-    def decode(self, odds: np.ndarray) -> np.ndarray:
+    def decode(self, odds: np.ndarray, begin: float = _BEGIN) -> np.ndarray:
         """Which elements belong to the article. Every element is outside it, in it, or cut out of it; below one outside may be ones in it,
         below one in it ones cut out, below one cut out nothing else. The best such labelling by the log odds, weighted by each
-        element's own text, is found from the leaves up; switching costs a little."""
+        element's own text, is found from the leaves up; switching costs a little. If no article pays for its beginning, as in a
+        very short one, that cost is waived."""
         n = len(self.tag)
         own = np.zeros(n)
         for node, text in self.pieces:
@@ -243,15 +244,17 @@ class Page:
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             out, into, off = best[i]
-            step[i] = into - _SWITCH > out, off - _SWITCH > into
-            best[p, 0] += max(out, into - _SWITCH)
-            best[p, 1] += max(into, off - _SWITCH)
+            step[i] = into - begin > out, off - _LEAVE > into
+            best[p, 0] += max(out, into - begin)
+            best[p, 1] += max(into, off - _LEAVE)
             best[p, 2] += off
         state = np.zeros(n, int)
-        state[0] = 1 if best[0, 1] - _SWITCH > best[0, 0] else 0
+        state[0] = 1 if best[0, 1] - begin > best[0, 0] else 0
         for i in range(1, n):
             s = state[self.parent[i]]
             state[i] = 2 if s == 2 else s + int(step[i, s])
+        if begin and not (state == 1).any():
+            return self.decode(odds, 0.0)
         return state == 1
 
     def text(self, keep: np.ndarray) -> str:
@@ -286,7 +289,7 @@ def truth(page: Page) -> np.ndarray | None:
 def variants(source: str, others: list[str], rng: np.random.Generator) -> Iterator[str]:
     """The page itself and pages with the same article in other surroundings: other elements and attribute tokens, and side matter with
     texts of other pages in and around the article. data-kept tells what belongs to it."""
-    yield source
+    yield from (source,) * 3  # what the corpus looks like counts most
     word = lambda g: str(rng.choice(_TOKENS[g]))
     for _ in range(4):
         out = source
@@ -343,6 +346,9 @@ def _side(group: int, word, others: list[str], rng: np.random.Generator) -> str:
         body = f'<label>{text()[:20]}</label><input type="text"><p>{text()[:60]}</p><button>Ok</button>'
     else:
         body = "".join(f"<p>{text()}</p>" for _ in range(rng.integers(1, 4)))
+    if rng.random() < 0.5:
+        level = 1 if group == 3 else int(rng.integers(2, 5))
+        body = f"<h{level}>{text()[:25]}</h{level}>" + body
     return f'<{tag}{mark} data-kept="0">{body}</{tag}>'
 
 
