@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from . import rules as R
@@ -116,6 +118,13 @@ def semantic_lock(caption: Column) -> Column:
     return let(F.struct(explicit_entities(caption).alias("e"), context.alias("c")), build)
 
 
+#: Words of the longest needle that story context looks for.
+CONTEXT_WORDS = 1 + max(
+    len(re.findall(r" |\\s", needle))
+    for needle in (*(n for _, ns in R.COUNTRY_RULES for n in ns), *(p for _, p in R.ERA_PATTERNS), *R.HISTORY_STEMS, *R.TAIPING_STORY, *R.QING)
+)
+
+
 def context_parts(text: Column) -> Column:
     """Rule hits of a text that matter for the story context, as a set of labels.
 

@@ -10,17 +10,19 @@ TOKEN = r"(?U)[\w-]+"
 
 # Words that carry no search meaning.
 STOPWORDS = (
-    "а и но или в во на по к ко у из за с со от до для что это как же бы не ну я ты он она они мы вы мой моя "
-    "его ее её the a an and or but to of in on for with this that it is are was were i you he she we"
-).split()
+    "а", "и", "но", "или", "в", "во", "на", "по", "к", "ко", "у", "из", "за", "с", "со", "от", "до", "для", "что", "это", "как", "же", "бы", "не",
+    "ну", "я", "ты", "он", "она", "они", "мы", "вы", "мой", "моя", "его", "ее", "её", "the", "a", "an", "and", "or", "but", "to", "of", "in", "on",
+    "for", "with", "this", "that", "it", "is", "are", "was", "were", "i", "you", "he", "she", "we",
+)
 # Tokens ignored when comparing English search intent.
 GENERIC_ENGLISH = (
-    "the and with from into photo image video documentary historical illustration footage scene visual broll roll"
-).split()
+    "the", "and", "with", "from", "into", "photo", "image", "video", "documentary", "historical", "illustration", "footage", "scene", "visual",
+    "broll", "roll",
+)
 # Tokens ignored in a query signature.
 SIGNATURE_STOP = (
-    "photo image video historical documentary illustration scene visual the and with"
-).split()
+    "photo", "image", "video", "historical", "documentary", "illustration", "scene", "visual", "the", "and", "with",
+)
 # Period phrases removed from queries of unlocked scenes.
 PERIOD_PHRASES = (
     r"19th[- ]century|1800s|Qing dynasty|Taiping Rebellion era|historical setting|period[- ]appropriate|"

@@ -15,7 +15,6 @@ Positions are dense from 0 within a key (``dense_pos`` makes them so).
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,14 +27,14 @@ def block_of(pos: Column, size: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder of the session."""
+    """Cut the lineage through the checkpoint folder of the session, or one beside the warehouse where none is set.
+
+    Both are shared by all executors; nothing depends on the kind of master.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="beatframe-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints")
     return df.checkpoint()
 
 

@@ -41,11 +41,12 @@ def _with_queries(df: DataFrame, queries: Column, limit: int, cond: Column | Non
 def story_context(scenes: DataFrame, size: int = BLOCK) -> DataFrame:
     """Context phrases per plan: ``plan_id, global_context, soft_context, taiping``.
 
-    Rule hits are found per caption (with the start of the next one, so phrases
-    across a cut count) and united per plan.
+    Rule hits are found per caption, joined with as many of the next ones as the longest
+    needle has further words, so phrases across cuts count, and united per plan.
     """
-    s = _lag(scenes.select("plan_id", "scene_idx", "caption"), "scene_idx", {"__next": ("caption", -1)}, size=size)
-    text = F.concat_ws(" ", "caption", F.substring("__next", 1, 48))
+    ahead = {f"__next{i}": ("caption", -i) for i in range(1, C.CONTEXT_WORDS)}
+    s = _lag(scenes.select("plan_id", "scene_idx", "caption"), "scene_idx", ahead, size=size)
+    text = F.concat_ws(" ", "caption", *ahead)
     tagged = s.select(
         "plan_id", C.context_parts(text).alias("g"), C.soft_context_parts(text).alias("s"), C.taiping_story(text).alias("t")
     )
@@ -54,7 +55,7 @@ def story_context(scenes: DataFrame, size: int = BLOCK) -> DataFrame:
         F.array(F.when(F.col("t"), "t:").otherwise("-")),
     )
     parts = tagged.select("plan_id", F.explode(flags).alias("p")).groupBy("plan_id").agg(F.collect_set("p").alias("p"))
-    of = lambda k: F.transform(F.filter("p", lambda x: x.startswith(k)), lambda x: F.substring(x, 3, 80))
+    of = lambda k: F.transform(F.filter("p", lambda x: x.startswith(k)), lambda x: F.substr(x, F.lit(3)))
     return parts.select(
         "plan_id", C.context_from_parts(of("g:")).alias("global_context"), C.soft_context_from_parts(of("s:")).alias("soft_context"),
         F.array_contains("p", "t:").alias("taiping"),
@@ -340,7 +341,7 @@ def apply_direction(scenes: DataFrame, replies: DataFrame, memes: DataFrame | No
     new = F.slice(ordered_distinct(F.filter(new, lambda q: (q != "") & fits(q))), 1, 4)
     new = F.transform(new, lambda q: F.substring(q, 1, 180))
     rules = _queries()
-    merged = merge_queries(F.slice(rules, 1, 2), new, F.slice(rules, 3, 1000))
+    merged = merge_queries(F.slice(rules, 1, 2), new, F.slice(rules, 3, F.size(rules) + 1))
     s = s.withColumn("__merged", merged).withColumns(
         {
             "visual_mode": allowed("visual_mode", R.VISUAL_MODES), "source_mode": allowed("source_mode", R.SOURCE_MODES),

@@ -241,7 +241,8 @@ def round_robin(items: DataFrame, keys: list[str], bucket: str, pos: str, k: int
 def stock_candidates(items: DataFrame, used_urls: DataFrame | None = None, k: int = 24, per_query: int = 8, queries: int = 3) -> DataFrame:
     """Balanced pool of stock videos: sources take turns within a query, queries follow each other.
 
-    A URL taken for an earlier query is not offered again.
+    A URL taken for an earlier query, or earlier in the turns of the same one, is not
+    offered again; its place in its source still counts.
     """
     left = items.filter((F.length("download_url") > 0) & (F.col("query_idx") < queries))
     if used_urls is not None:
@@ -251,7 +252,12 @@ def stock_candidates(items: DataFrame, used_urls: DataFrame | None = None, k: in
         own = left.filter(F.col("query_idx") == q)
         if taken is not None:
             own = own.join(taken.select(*SCENE, "download_url"), [*SCENE, "download_url"], "left_anti")
-        got = round_robin(own, SCENE, "source", "pos", per_query).withColumnRenamed("place", "turn")
+        firsts = own.groupBy(*SCENE, "source").agg(F.min("pos").alias("__first"))
+        place = F.row_number().over(Window.partitionBy(*SCENE, "source").orderBy("pos"))
+        turns = own.withColumn("__rn", place).join(firsts, [*SCENE, "source"]).withColumn("__o", F.struct("__rn", "__first"))
+        once = turns.groupBy(*SCENE, "download_url").agg(F.min_by(F.struct(*own.columns), "__o").alias("__r"), F.min("__o").alias("__o"))
+        got = once.select("__r.*", "__o").withColumn("turn", F.row_number().over(Window.partitionBy(*SCENE).orderBy("__o")))
+        got = got.filter(F.col("turn") <= per_query).drop("__o")
         taken = got if taken is None else taken.unionByName(got)
     order = Window.partitionBy(*SCENE).orderBy("query_idx", "turn")
     return taken.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

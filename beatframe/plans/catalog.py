@@ -54,7 +54,7 @@ PHRASES = (
 
 
 def planted(v: Views) -> DataFrame:
-    pick = F.element_at(T.strings(*PHRASES), (F.col("scene_idx") % len(PHRASES) + 1).cast("int"))
+    pick = F.element_at(T.strings(*PHRASES), ((F.col("plan_id") + F.col("scene_idx")) % len(PHRASES) + 1).cast("int"))
     return v.scenes().withColumn("caption", F.concat_ws(" ", pick, "caption"))
 
 

@@ -296,25 +296,33 @@ def material_usage(v: Views) -> DataFrame:
 def exact_duplicates(v: Views) -> DataFrame:
     """Copies of whole texts within a source: the first holder and its repeats."""
     d = v.table("documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    first = d.groupBy("source", "digest").agg(F.min("doc_id").alias("original"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return d.join(first, ["source", "digest"]).filter("doc_id > original").select("doc_id", "original", "digest")
+    files = d.select(
+        F.col("source").alias("plan_id"), F.col("doc_id").alias("scene_idx"), F.lit("image").alias("asset_kind"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("asset"), "digest",
+        F.lit(None).cast("array<bigint>").alias("ahash"),
+    )
+    again = D.duplicate_scenes(files).filter("reason = 'same_bytes'").select(F.col("scene_idx").alias("doc_id"), F.col("original_scene").alias("original"))
+    return again.join(d.select("doc_id", "digest"), "doc_id").select("doc_id", "original", "digest")
+
+
+FLIPS = (0, 5, 20, 24, 25, 26)  # lowest bits of a picture's hash that its copies turn over
 
 
 def media_scenes(v: Views) -> DataFrame:
-    """Vectors as scenes of their label's plan, with paths, digests and picture hashes.
+    """Vectors as scenes of plans of 40, with paths, digests and picture hashes.
 
-    Neighbouring ids share a picture up to a few brighter pixels, so all three rules fire.
+    A plan has seven pictures; copies differ in the lowest 0 to 26 bits of the hash, so pairs lie on both sides of either limit, and
+    some share a path or their bytes.
     """
     i = F.col("vec_id")
     base = F.floor(i / 40) * 40 + (i % 40) % 7
     pictures = gray(v).select(F.col("vec_id").alias("base"), M.ahash(F.col("pixels")).alias("hash"))
-    s = v.table("embeddings").select((i % 10).alias("plan_id"), F.floor(i / 10).cast("int").alias("scene_idx"), base.alias("base"), i.alias("vec_id"))
+    s = v.table("embeddings").select(F.floor(i / 40).alias("plan_id"), (i % 40).cast("int").alias("scene_idx"), base.alias("base"), i.alias("vec_id"))
     s = s.join(pictures, "base")
-    noise = F.pmod(i * 40503, F.lit(1 << 20))
+    flipped = F.element_at(F.array(*[F.lit((1 << n) - 1).cast("bigint") for n in FLIPS]), (i % len(FLIPS) + 1).cast("int"))
     return s.select(
         "plan_id", "scene_idx", F.when(i % 13 == 0, "blank").when(i % 3 == 0, "video").otherwise("image").alias("asset_kind"),
-        F.concat(F.lit("Clip"), (i % 233).cast("string")).alias("asset"), F.when(i % 17 > 0, F.md5((i % 191).cast("string"))).alias("digest"),
-        F.array(F.element_at("hash", 1), F.element_at("hash", 2), F.element_at("hash", 3), F.element_at("hash", 4).bitwiseXOR(noise.bitwiseAND(F.lit(0x11111)))).alias("ahash"),
+        F.concat(F.lit("Clip"), (i % 37).cast("string")).alias("asset"), F.when(i % 17 > 0, F.md5((i % 35).cast("string"))).alias("digest"),
+        F.array(F.element_at("hash", 1), F.element_at("hash", 2), F.element_at("hash", 3), F.element_at("hash", 4).bitwiseXOR(flipped)).alias("ahash"),
     )
 
 

@@ -69,7 +69,7 @@ scenes AS (
 PLANTED = SCENES + """,
 planted AS (
   SELECT * REPLACE (CASE WHEN p = '' THEN ' ' || caption ELSE p || ' ' || caption END AS caption) FROM
-  (SELECT *, [""" + ", ".join(lit(p) for p in Q.PHRASES) + f"""][scene_idx % {len(Q.PHRASES)} + 1] AS p FROM scenes))"""
+  (SELECT *, [""" + ", ".join(lit(p) for p in Q.PHRASES) + f"""][(plan_id + scene_idx) % {len(Q.PHRASES)} + 1] AS p FROM scenes))"""
 CANDIDATES = """
 candidates AS (
   SELECT doc_id AS cand_id, CASE CAST(substring(source,4) AS INT) % 4 WHEN 0 THEN 'commons' WHEN 1 THEN 'openverse' WHEN 2 THEN 'pexels' ELSE 'pixabay' END AS provider,

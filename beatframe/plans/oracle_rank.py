@@ -177,9 +177,9 @@ from .oracle_text import PX  # noqa: E402
 
 sql("near_duplicates", f"""
 pic AS (SELECT vec_id, list_transform({PX}, lambda v: CASE WHEN v * 256 >= list_sum({PX}) THEN '1' ELSE '0' END) AS h FROM embeddings),
-s0 AS (SELECT vec_id % 10 AS plan_id, CAST(floor(vec_id / 10) AS INT) AS scene_idx, (vec_id // 40) * 40 + (vec_id % 40) % 7 AS base, vec_id, (vec_id * 40503) % 1048576 AS noise FROM embeddings),
-s AS (SELECT plan_id, scene_idx, CASE WHEN s0.vec_id % 13 = 0 THEN 'blank' WHEN s0.vec_id % 3 = 0 THEN 'video' ELSE 'image' END AS kind, 'clip' || (s0.vec_id % 233) AS path, CASE WHEN s0.vec_id % 17 > 0 THEN md5(CAST(s0.vec_id % 191 AS VARCHAR)) END AS dg,
-  xor(CAST(array_to_string(h, '') AS BIT), CAST(repeat('0', 192) || lpad(CAST((noise & 69905)::BIT AS VARCHAR)[-20:], 64, '0') AS BIT)) AS h FROM s0 JOIN pic ON pic.vec_id = s0.base),
+s0 AS (SELECT vec_id // 40 AS plan_id, CAST(vec_id % 40 AS INT) AS scene_idx, (vec_id // 40) * 40 + (vec_id % 40) % 7 AS base, vec_id, [0, 5, 20, 24, 25, 26][vec_id % 6 + 1] AS flips FROM embeddings),
+s AS (SELECT plan_id, scene_idx, CASE WHEN s0.vec_id % 13 = 0 THEN 'blank' WHEN s0.vec_id % 3 = 0 THEN 'video' ELSE 'image' END AS kind, 'clip' || (s0.vec_id % 37) AS path, CASE WHEN s0.vec_id % 17 > 0 THEN md5(CAST(s0.vec_id % 35 AS VARCHAR)) END AS dg,
+  xor(CAST(array_to_string(h, '') AS BIT), CAST(repeat('0', 256 - flips) || repeat('1', flips) AS BIT)) AS h FROM s0 JOIN pic ON pic.vec_id = s0.base),
 a AS (SELECT *, min(scene_idx) OVER (PARTITION BY plan_id, path) AS fp FROM s WHERE kind <> 'blank'),
 b AS (SELECT *, CASE WHEN dg IS NOT NULL THEN min(scene_idx) OVER (PARTITION BY plan_id, dg) END AS fd FROM a WHERE scene_idx = fp),
 c AS (SELECT plan_id, kind, scene_idx, h, row_number() OVER (PARTITION BY plan_id ORDER BY scene_idx) AS r FROM b WHERE scene_idx = fd),

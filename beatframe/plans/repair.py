@@ -21,19 +21,20 @@ def repair_loop(scenes: DataFrame, search: Search, passes: int = 3, checks: int
 
     ``search(todo, pass)`` returns ``plan_id, scene_idx, asset, asset_kind`` for
     the scenes it found something for; the others keep what they have. When
-    ``media`` (``asset, digest, ahash``) is given, near-duplicates count as well.
+    ``media`` (``asset, digest, ahash``) is given, near-duplicates count as well. Only
+    those get new queries before they are searched again; repetitions of grammar and
+    failed checks are searched with the scene as it is.
     """
     s = checkpoint(scenes)
 
-    def findings() -> DataFrame:
-        found = repetition_runs(s, size=size).select(*SCENE)
-        if media is not None:
-            known = s.join(media.select("asset", "digest", "ahash"), "asset", "left")
-            found = found.unionByName(duplicate_scenes(known).select(*SCENE))
-        return found.distinct()
+    def repeated() -> DataFrame | None:
+        if media is None:
+            return None
+        known = s.join(media.select("asset", "digest", "ahash"), "asset", "left")
+        return checkpoint(duplicate_scenes(known).select(*SCENE).distinct())
 
-    def renewed(todo: DataFrame, number: int) -> DataFrame:
-        asked = checkpoint(prepare_repair(s, todo, number))
+    def renewed(todo: DataFrame, number: int, rewrite: DataFrame | None = None) -> DataFrame:
+        asked = s if rewrite is None else checkpoint(prepare_repair(s, rewrite, number))
         got = search(asked.join(todo, SCENE, "left_semi"), number)
         got = got.select(*SCENE, F.col("asset").alias("__a"), F.col("asset_kind").alias("__k"))
         new = asked.join(got, SCENE, "left")
@@ -41,10 +42,11 @@ def repair_loop(scenes: DataFrame, search: Search, passes: int = 3, checks: int
         return checkpoint(new.select(*scenes.columns))
 
     for number in range(passes):
-        todo = checkpoint(findings())
+        again, runs = repeated(), repetition_runs(s, size=size).select(*SCENE)
+        todo = checkpoint((runs if again is None else runs.unionByName(again)).distinct())
         if todo.isEmpty():
             break
-        s = renewed(todo, number)
+        s = renewed(todo, number, again)
     for number in range(checks):
         todo = checkpoint(failed_scenes(inspect_scenes(s, None if media is None else media.select("asset"), size)))
         if todo.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.media import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, kind_from_extension, kind_from_mime
@@ -36,14 +38,17 @@ def to_ms(seconds: Column) -> Column:
     return F.bround(seconds * 1000).cast("bigint")
 
 
-def _plan_id(path: Column) -> Column:
-    """File name without the extension."""
-    return F.regexp_extract(F.regexp_replace(path, r"^.*/", ""), r"^(.*?)(?:\.[^.]*)?$", 1)
+def _plan_id(path: Column, root: str) -> Column:
+    """Path below the folder that is read, without the extension; plans of equal file names in different folders stay apart."""
+    folder = re.sub(r"^[a-z]+:/*(?=/)", "", root).rstrip("/") + "/"
+    at = F.locate(folder, path)
+    below = F.when(at > 0, F.substr(path, at + len(folder))).otherwise(F.regexp_replace(path, r"^.*/", ""))
+    return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str, schema: str, plan_id: Column | None) -> DataFrame:
     raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return raw.withColumn("plan_id", _plan_id(F.col("_metadata.file_path")))
+    return raw.withColumn("plan_id", _plan_id(F.col("_metadata.file_path"), path) if plan_id is None else plan_id)
 
 
 def word_structs(words: Column) -> Column:
@@ -55,17 +60,20 @@ def word_structs(words: Column) -> Column:
     return F.filter(made, lambda w: w["text"] != "")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Timed words of transcript files, one file per plan: ``plan_id, language, idx, start_ms, end_ms, text``."""
-    raw = _documents(spark, path, TRANSCRIPT)
+def read_transcripts(spark: SparkSession, path: str, plan_id: Column | None = None) -> DataFrame:
+    """Timed words of transcript files, one file per plan: ``plan_id, language, idx, start_ms, end_ms, text``.
+
+    ``plan_id`` is the path below ``path`` without the extension, or the given expression (over ``_metadata.file_path`` and the fields).
+    """
+    raw = _documents(spark, path, TRANSCRIPT, plan_id)
     return raw.select("plan_id", "language", F.posexplode(word_structs(F.col("words"))).alias("idx", "w")).select(
         "plan_id", "language", "idx", "w.*"
     )
 
 
-def read_plans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_plans(spark: SparkSession, path: str, plan_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Scenes and plan headers of plan files; missing fields take their defaults."""
-    raw = _documents(spark, path, PLAN)
+    raw = _documents(spark, path, PLAN, plan_id)
     base = F.regexp_replace("_metadata.file_path", r"[^/]*$", "")
     raw = raw.withColumn("__dir", F.regexp_replace(base, "^file:(//)?", ""))
     plans = raw.select(
@@ -183,16 +191,12 @@ def parse_pixabay_payloads(raw: DataFrame) -> DataFrame:
     )
 
 
-def scan_media_library(spark: SparkSession, folder: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS + IMAGE_EXTENSIONS, keep: int | None = None) -> DataFrame:
-    """Files of a media folder without their content: ``path, name, folders, kind, size``.
-
-    ``keep`` lists the first files by path only.
-    """
+def scan_media_library(spark: SparkSession, folder: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS + IMAGE_EXTENSIONS) -> DataFrame:
+    """Files of a media folder without their content: ``path, name, folders, kind, size``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    f = files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions)).select(
+    return files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions)).select(
         "path", name.alias("file_name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("name"),
         F.translate(F.regexp_replace(F.regexp_extract("path", r"^(?:[a-z]+:)?/*(.*)/[^/]+$", 1), "/+", " "), "", "").alias("folders"),
         kind_from_extension(F.col("path")).alias("kind"), F.col("length").alias("size"),
     )
-    return f.orderBy("path").limit(keep) if keep else f

@@ -47,7 +47,7 @@ def plan_records(scenes: DataFrame, plans: DataFrame, base: str = "") -> DataFra
     have = set(scenes.columns)
     if base and "asset" in have:
         root = base.rstrip("/") + "/"
-        short = F.when(F.col("asset").startswith(root), F.substring("asset", len(root) + 1, 100000)).otherwise(F.col("asset"))
+        short = F.when(F.col("asset").startswith(root), F.substr("asset", F.lit(len(root) + 1))).otherwise(F.col("asset"))
         scenes = scenes.withColumn("asset", short)
     fields = [seconds(F.col("start_ms")).alias("start"), seconds(F.col("end_ms")).alias("end"), *[F.col(c) for c in _SCENE if c in have]]
     if "caption_words" in have:
@@ -97,7 +97,7 @@ def subtitle_lines(pages: DataFrame, overlays: DataFrame | None = None, width: i
     line = F.concat(
         F.lit("Dialogue: 0,"), ass_time(F.col("start_ms")), F.lit(","), ass_time(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), style, _plain(F.col("text"))
     )
-    out = pages.select("plan_id", F.lit(0).alias("layer"), "start_ms", (F.col("scene_idx").cast("bigint") * 100000 + F.col("page")).alias("ord"), line.alias("line"))
+    out = pages.select("plan_id", F.lit(0).alias("layer"), "start_ms", F.struct(F.col("scene_idx").cast("bigint").alias("scene"), F.col("page").cast("bigint").alias("page")).alias("ord"), line.alias("line"))
     if overlays is None:
         return out
     o = overlays.filter((F.length(F.trim(blank(F.col("label")))) > 0) & (F.col("end_ms") > F.col("start_ms")))
@@ -116,7 +116,7 @@ def subtitle_lines(pages: DataFrame, overlays: DataFrame | None = None, width: i
         F.when(words, "Dialogue: 3,").otherwise("Dialogue: 2,"), ass_time(F.col("start_ms")), F.lit(","), ass_time(F.col("end_ms")),
         F.lit(",Default,,0,0,0,,"), F.when(words, callout).otherwise(tag), label,
     )
-    lines = o.select("plan_id", F.when(words, 3).otherwise(2).alias("layer"), "start_ms", F.col("scene_idx").cast("bigint").alias("ord"), line.alias("line"))
+    lines = o.select("plan_id", F.when(words, 3).otherwise(2).alias("layer"), "start_ms", F.struct(F.col("scene_idx").cast("bigint").alias("scene"), F.lit(0).cast("bigint").alias("page")).alias("ord"), line.alias("line"))
     return out.unionByName(lines)
 
 

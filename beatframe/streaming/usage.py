@@ -9,26 +9,27 @@ from pyspark.sql import DataFrame, functions as F
 def usage_changes(events: DataFrame) -> DataFrame:
     """Changes of the URL counts of each plan: ``plan_id, scene_idx, url, delta``.
 
-    State is one row per (plan, scene): the URL it holds now. Registering a scene
-    releases what it held before, so each event yields at most two changes. Summing
-    the changes per plan and URL gives the live counts.
+    State is one row per (plan, scene): the URL it holds and the ``seq`` of the event that
+    said so. Registering a scene releases what it held before. Only the latest event
+    counts, whatever the order of arrival: one with a smaller ``seq`` than the state's, in a
+    later batch or chunk, changes nothing. Summing the changes per plan and URL gives the live counts.
     """
+    ids = events.select("plan_id", "scene_idx").schema
 
     def apply(key, batches, state):
-        held = state.get[0] if state.exists else None
-        rows = []
+        seq, held = state.get if state.exists else (None, None)
+        before = held
         for pdf in batches:
-            for op, url in pdf.sort_values("seq")[["op", "url"]].itertuples(index=False):
-                if held:
-                    rows.append((key[0], key[1], held, -1))
-                held = url if op == "register" else None
-                if held:
-                    rows.append((key[0], key[1], held, 1))
-        state.update((held,))
+            last = pdf.loc[pdf["seq"].idxmax()]
+            if seq is None or last["seq"] > seq:
+                seq, held = int(last["seq"]), last["url"] if last["op"] == "register" else None
+        state.update((seq, held))
+        rows = [(*key, before, -1)] * bool(before) + [(*key, held, 1)] * bool(held) if before != held else []
         yield pd.DataFrame(rows, columns=["plan_id", "scene_idx", "url", "delta"])
 
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids)
     return events.groupBy("plan_id", "scene_idx").applyInPandasWithState(
-        apply, "plan_id long, scene_idx int, url string, delta int", "url string", "append", "NoTimeout"
+        apply, f"{kinds}, url string, delta int", "seq long, url string", "append", "NoTimeout"
     )
 
 

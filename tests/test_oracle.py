@@ -16,7 +16,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    assert compare.differences(QUERIES[name](spark, FOLDER), con, SQL[name]) == ""
+    found = QUERIES[name](spark, FOLDER)
+    assert compare.differences(found, con, SQL[name]) == ""
+    assert not found.isEmpty()
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
@@ -26,3 +28,9 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["plan_id", "tone", "n"]
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_every_kind_of_duplicate_occurs(spark, folder):
+    found = QUERIES["near_duplicates"](spark, folder).groupBy("reason").count().collect()
+    assert {r.reason for r in found} == {"same_path", "same_bytes", "near_duplicate"} and all(r["count"] > 0 for r in found)

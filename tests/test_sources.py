@@ -94,3 +94,29 @@ def test_stream_equals_batch(spark, tmp_path):
     live = usage.live_usage(spark.read.parquet(str(tmp_path / "out")))
     urls, _ = D.material_usage(log)
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, urls.collect()))
+
+
+def test_plans_of_equal_file_names_stay_apart(spark, tmp_path):
+    for folder, word in (("a", "one"), ("b/c", "two")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "transcript.json").write_text(json.dumps({"words": [{"start": 0, "end": 1, "text": word}]}))
+        (tmp_path / folder / "shot_plan.json").write_text(json.dumps({"scenes": [{"start": 0, "end": 1, "query": word}]}))
+    words = S.read_transcripts(spark, str(tmp_path)).filter("text is not null")
+    assert {(r.plan_id, r.text) for r in words.collect()} == {("a/transcript", "one"), ("b/c/transcript", "two")}
+    scenes, _ = S.read_plans(spark, str(tmp_path))
+    assert {(r.plan_id, r.query) for r in scenes.filter("query <> ''").collect()} == {("a/shot_plan", "one"), ("b/c/shot_plan", "two")}
+    own = S.read_transcripts(spark, str(tmp_path), F.regexp_extract("_metadata.file_path", "/([^/]+)/[^/]+$", 1))
+    assert {r.plan_id for r in own.collect()} == {"a", "c"}
+
+
+def test_late_events_do_not_override(spark, tmp_path):
+    kind = "plan_id string, seq long, op string, scene_idx int, url string, title string"
+    log = [("p", 5, "register", 0, "new", "t"), ("p", 1, "register", 1, "x", "t"), ("p", 2, "register", 0, "old", "t"), ("p", 9, "release", 1, "x", "t"), ("p", 8, "register", 1, "y", "t"), ("q", 3, "register", 0, "z", "t")]
+    for i, row in enumerate(log):
+        spark.createDataFrame([row], kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = usage.usage_changes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    live = usage.live_usage(spark.read.parquet(str(tmp_path / "out")))
+    urls, _ = D.material_usage(spark.createDataFrame(log, kind))
+    assert {tuple(r) for r in live.select("plan_id", "url", "uses").collect()} == {tuple(r) for r in urls.select("plan_id", "url", "uses").collect()} == {("p", "new", 1), ("q", "z", 1)}
