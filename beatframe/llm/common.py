@@ -144,12 +144,8 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; where none is set, one beside the warehouse, which every executor sees."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -274,10 +274,10 @@ def held_against(blocks: DataFrame, against: DataFrame, sets: DataFrame, bands:
 
     blocks: beside, set_key; against: beside, set_key; sets: set_key, features (sorted, 8 bytes each). A block with many sets against it
     goes to several groups, each with the block's own sets again."""
-    most = against.groupBy("beside").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    shares = -(-most // _AGAINST)
-    own = blocks.distinct().join(sets, "set_key").select("beside", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "set_key", "features", F.lit(True).alias("own"))
-    other = against.distinct().join(sets, "set_key").select("beside", F.pmod(F.xxhash64("set_key"), F.lit(shares)).cast("int").alias("share"), "set_key", "features", F.lit(False).alias("own"))
+    against = against.distinct()
+    shares = cut(against.groupBy("beside").agg(F.ceil(F.count("*") / _AGAINST).cast("int").alias("shares")))
+    own = blocks.distinct().join(shares, "beside").join(sets, "set_key").select("beside", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "set_key", "features", F.lit(True).alias("own"))
+    other = against.join(shares, "beside").join(sets, "set_key").select("beside", F.pmod(F.xxhash64("set_key"), F.col("shares")).cast("int").alias("share"), "set_key", "features", F.lit(False).alias("own"))
 
     def run(table: pa.Table) -> pa.Table:
         keys, own = table.column("set_key").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
@@ -358,7 +358,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     open_rows = found.select("sig", "set_key").join(placed, "set_key")
     groups = max(1, -(-found.count() // 1_000_000))
     against = cut(blocks_beside(open_rows.select(F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("int").alias("part"), "sig", "set_key", "component", "beside")).distinct())
-    more = held_against(placed.select("beside", "set_key").join(against.select("beside").distinct(), "beside", "left_semi"), against, features, bands)
+    more = held_against(placed.select("beside", "set_key"), against, features, bands)
     links = links.union(more)
     reps = sets.select(F.col("set_key").alias("k"), "rep")
     edges = links.join(reps, links.a == reps.k).select(F.col("rep").alias("u"), "b").join(reps, F.col("b") == reps.k).select("u", F.col("rep").alias("v"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from beatframe.llm.common import blocks_of, cut, text_bytes
 
-LIMIT = 1500  # labelled documents of each language that text likelihoods are learnt from, at most
+LIMIT = 1500  # different texts of each language that likelihoods are learnt from, on average
 LANGUAGES = 64  # languages that are told apart, at most: the most frequent ones
 STRENGTH = 20.0  # rows that a coarser prior counts as when a finer one is formed
 FREE = 40.0  # letter groups of a text that count in full; those of a longer one are scaled down to this plus a tenth
@@ -72,16 +72,16 @@ class Likelihoods:
 
 
 def learn(docs: DataFrame, text: str = "text", language: str = "lang", limit: int = LIMIT, most: int = LANGUAGES) -> Likelihoods:
-    """Letter-group likelihoods from at most `limit` documents of each of the `most` most frequent declared languages. A sample is
-    chosen by the hash of the text, so the same texts serve whatever the partitioning."""
+    """Letter-group likelihoods from about `limit` different texts of each of the `most` most frequent declared languages. They are
+    chosen by the hash of the text, so the same texts serve whatever the partitioning, and copies count once."""
     tagged = docs.select(F.lower(F.trim(docs[language])).alias("lang"), docs[text].alias("text")).where("lang is not null and lang <> '' and text is not null")
     counts = tagged.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
     languages = sorted(r.lang for r in counts)
     if not languages:
         return Likelihoods([], np.zeros((1 << _BITS, 0), np.float32))
-    share = {r.lang: min(1.0, 1.2 * limit / r.n) for r in counts}
+    share = {r.lang: min(1.0, limit / r.n) for r in counts}
     wanted = F.coalesce(*[F.when(F.col("lang") == x, F.lit(share[x])) for x in languages], F.lit(0.0))
-    chosen = tagged.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < wanted * 1_000_000)
+    chosen = tagged.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < wanted * 1_000_000).distinct()
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,9 +20,10 @@ def class_counts(labels: DataFrame, key: str, label: str) -> dict[int, int]:
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, limit: int) -> DataFrame:
     """(key, text, y): at most `limit` labelled documents of each class, those whose hashed key is smallest.
 
-    limit bounds what a classifier is fitted on, so the chosen keys may be broadcast. Of repeated keys each row counts."""
+    limit bounds what a classifier is fitted on, so the chosen keys may be broadcast. Of rows that repeat a key the smallest text counts."""
     one = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     one = one.select("k", (F.col("y") > 0).cast("int").alias("y"), F.xxhash64(F.lit("sample"), "k").alias("h"))
     chosen = one.where("y = 1").orderBy("h", "k").limit(limit).union(one.where("y = 0").orderBy("h", "k").limit(limit))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("__text"))
-    return rows.join(F.broadcast(chosen.select("k", "y")), "k").select(F.col("k").alias(key), F.col("__text").alias(text), "y")
+    one_each = rows.join(F.broadcast(chosen.select("k", "y")), "k").groupBy("k", "y").agg(F.min("__text").alias("__text"))
+    return one_each.select(F.col("k").alias(key), F.col("__text").alias(text), "y")

@@ -16,11 +16,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic; rows of a null doc_id are judged by their text like others."""
+    """Documents that the nearest labelled examples do not call toxic; rows of a null doc_id are judged by their text like others,
+    and other columns of any name are carried along."""
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(samples.fold_of("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(every, labels), keep=docs.columns, evidence=False, text="text")
-    return scored.where("predicted = 0").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    scored = toxicity.score(plain, toxicity.fit(every, labels), keep=plain.columns, evidence=False, text=f"c{names.index('text')}")
+    return scored.where("predicted = 0").select(*plain.columns).toDF(*names)
 
 
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

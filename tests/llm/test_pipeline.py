@@ -33,8 +33,8 @@ def test_stages_in_order(spark):
 
 
 def test_odd_rows_pass(spark):
-    rows = [(1, None, "en", "s", 0), (None, "the one and the other of them", None, None, None), (2, "", None, "s", 0)]
-    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SMALL}/documents.parquet").schema)
+    rows = [(1, None, "en", "s", 0, 1, "a"), (None, "the one and the other of them", None, None, None, None, None), (2, "", None, "s", 0, 2, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, component_id string")
     kept = corpus_pipeline.one_of_near_copies(spark, docs, SMALL)
     assert kept.count() == 3 and corpus_pipeline.packed(spark, kept, SMALL).agg(F.sum("length")).first()[0] >= 3
     assert corpus_pipeline.without_toxic(spark, docs, SMALL).count() == 3
