@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify as C, media as M, text as T
 from ..operators import blocks as B, cues as O, dedup as D, expand as E, quality as G, rank as K, report as A, sequence as Q, validate as V
+from ..sources import writers as W
 from ..views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,6 +266,20 @@ def caption_pages_weighted(v: Views) -> DataFrame:
     return Q.caption_pages(v.scenes(), words=None).select(*SCENE, "page", "start_ms", "end_ms", "text")
 
 
+@query
+def transcript_records(v: Views) -> DataFrame:
+    """Whole transcripts as they are written, words as counts and bounds."""
+    r = W.transcript_records(v.words())
+    first, last = F.element_at("words", 1), F.element_at("words", -1)
+    return r.select("plan_id", "duration", "text", F.size("words").alias("words"), first["start"].alias("first_start"), last["text"].alias("last_word"))
+
+
+@query
+def subtitle_lines(v: Views) -> DataFrame:
+    """Dialogue lines of the caption cards."""
+    return W.subtitle_lines(Q.caption_pages(with_words(v))).select("plan_id", "start_ms", F.col("ord.scene").cast("int").alias("scene_idx"), F.col("ord.page").alias("page"), "line")
+
+
 @query
 def neighbor_queries(v: Views) -> DataFrame:
     """Scenes ask for the first word class of their caption; repeats move to an alternative."""

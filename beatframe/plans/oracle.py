@@ -6,7 +6,8 @@ running state is a recursive query here.
 
 from __future__ import annotations
 
-from ..functions import rules as R
+from ..functions import rules as R, text as text_functions
+from ..operators.sequence import VARIATIONS
 from . import catalog as Q
 
 ORACLE: dict[str, str] = {}
@@ -292,7 +293,7 @@ f AS (SELECT plan_id, scene_idx, q0 AS query, qs AS queries, [q0] AS mem FROM s
     FROM f JOIN s ON s.plan_id = f.plan_id AND s.scene_idx = f.scene_idx + 1))
 SELECT plan_id, scene_idx, query, """ + join("queries") + """ AS queries FROM f""")
 
-VARY = "CASE role " + " ".join(f"WHEN '{r}' THEN '{t}'" for r, t in __import__("beatframe.operators.sequence", fromlist=["VARIATIONS"]).VARIATIONS.items()) + " ELSE '' END"
+VARY = "CASE role " + " ".join(f"WHEN '{r}' THEN '{t}'" for r, t in VARIATIONS.items()) + " ELSE '' END"
 sql("sequence_variation", PLANTED, f""", s AS (SELECT plan_id, scene_idx, 'shot of ' || ['people', 'soldiers', 'city'][(scene_idx // 2) % 3 + 1] AS q, scene_idx % 7 = 6 AS lk, {role_case('lower(caption)', *DEFAULT_ROLES)} AS role FROM planted),
 d AS (SELECT *, {VARY} AS v FROM s),
 f AS (SELECT plan_id, scene_idx, q AS query, q AS queries, false AS varied, lk FROM d WHERE scene_idx = 0
@@ -335,7 +336,7 @@ ERAS = dict(R.ERA_PATTERNS)
 sql("context_kept", PLANTED, f""", t AS (SELECT plan_id, scene_idx, lower(caption) AS t, {toks('caption')} AS k FROM planted)
 SELECT plan_id, scene_idx, {join(f"list_filter([CASE WHEN {has('t', R.CHINA)} THEN 'China' END, CASE WHEN {has('t', ('цин', 'qing'))} THEN 'Qing dynasty' END, CASE WHEN regexp_matches(t, {lit(bounded(ERAS['19th century']))}) THEN '19th century' END, CASE WHEN regexp_matches(t, {lit(bounded(ERAS['20th century']))}) THEN '20th century' END, CASE WHEN regexp_matches(t, {lit(bounded(ERAS['21st century modern']))}) THEN '21st century modern' END, CASE WHEN list_has_all(k, ['first', 'soldiers']) THEN 'first soldiers' END, CASE WHEN list_contains(k, 'war') THEN 'war' END], lambda x: x IS NOT NULL)")} AS kept FROM t""")
 
-T = __import__("beatframe.functions.text", fromlist=["GENERIC_ENGLISH"])
+T = text_functions
 
 
 def english(col: str) -> str:
@@ -359,3 +360,15 @@ FROM shots a JOIN shots b ON b.plan_id = a.plan_id AND b.scene_idx = a.scene_idx
 
 sql("sources_allowed", CANDIDATES, """, m AS (SELECT *, ['historical_archive', 'stock_video', 'meme_library', 'generic_image', 'auto'][cand_id % 5 + 1] AS mode, provider IN ('commons', 'openverse') AND kind = 'image' AS arch FROM candidates)
 SELECT mode, provider, kind, count(*) AS n, count(*) FILTER (CASE WHEN cand_id % 7 = 0 OR mode = 'historical_archive' THEN arch WHEN mode = 'stock_video' THEN (kind = 'video' AND provider IN ('pexels', 'pixabay')) OR kind = 'image' WHEN mode = 'meme_library' THEN false WHEN mode = 'generic_image' THEN kind = 'image' ELSE true END) AS allowed FROM m GROUP BY 1, 2, 3""")
+
+sql("transcript_records", WORDS, """SELECT plan_id, round(arg_max(end_ms, idx) / 1000.0::DOUBLE, 3) AS duration, string_agg(text, ' ' ORDER BY idx) AS text, CAST(count(*) AS INT) AS words,
+  round(arg_min(start_ms, idx) / 1000.0::DOUBLE, 3) AS first_start, arg_max(text, idx) AS last_word FROM words GROUP BY 1""")
+
+
+def clock(ms: str) -> str:
+    cs = f"(greatest({ms}, 0) // 10 + CASE WHEN greatest({ms}, 0) % 10 > 5 OR greatest({ms}, 0) % 10 = 5 AND greatest({ms}, 0) // 10 % 2 = 1 THEN 1 ELSE 0 END)"
+    return f"({cs} // 360000) || ':' || lpad(CAST({cs} % 360000 // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({cs} % 6000 // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST({cs} % 100 AS VARCHAR), 2, '0')"
+
+
+ORACLE["subtitle_lines"] = f"""SELECT plan_id, start_ms, scene_idx, CAST(page AS BIGINT) AS page,
+  'Dialogue: 0,' || {clock('start_ms')} || ',' || {clock('end_ms')} || ',Default,,0,0,0,,{{\\\\fad(8,12)}}' || translate(text, '{{}}', '()') AS line FROM ({ORACLE['caption_pages']})"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import recipes as P, rules as R, text as T
+from ..operators import rank as CUT
 from . import catalog as Q
 from .oracle import CANDIDATES, CAPTIONS, CHUNKS, DEFAULT_ROLES, JUDGE, PLANTED, RANGES, SCENES, SHOTS, WORDS, context, entities, every, first, has, join, lit, role_case, sql, tone_case, toks
 from .oracle_text import QTY, alt, guard, ordered, squash
@@ -160,7 +161,6 @@ SELECT query_id, pos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t D
 sql("best_stickers", SIMILAR, """, s AS (SELECT prompt_id, 'a' || (item_id % 40) AS asset, max(score) AS score FROM sims GROUP BY 1, 2)
 SELECT prompt_id, asset, score FROM s WHERE score > 0 AND asset <> 'a' || (prompt_id % 40) QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, asset) = 1""")
 
-CUT = __import__("beatframe.operators.rank", fromlist=["CUTOUT_REJECT"])
 sql("cutout_search", CANDIDATES, f""", q AS (SELECT *, CASE lang WHEN 'en' THEN ['the', 'and', 'ing'] WHEN 'fr' THEN ['que', 'la', 'eau'] WHEN 'de' THEN ['der', 'sch'] ELSE ['de', 'la', 'ci', 'n'] END AS qt, lower(title || CASE WHEN cand_id % 6 = 0 THEN ' Sticker' WHEN cand_id % 7 = 0 THEN ' Flag' ELSE '' END || ' ' || description) AS meta, cand_id % 5 = 0 AND cand_id % 3 = 0 AND lang <> 'fr' AND width >= 240 AND height >= 240 AS png FROM candidates WHERE kind = 'image'),
 k AS (SELECT *, len(list_filter(qt, lambda t: contains(meta, t))) * 4.0::DOUBLE + CASE WHEN png AND {has('meta', CUT.CUTOUT_STYLE)} THEN 3 ELSE 0 END AS base FROM q WHERE NOT {has('meta', CUT.CUTOUT_REJECT)} AND (png OR (width >= 420 AND height >= 320))),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, png ORDER BY cand_id) AS INT) AS place, bool_or(png) OVER (PARTITION BY lang) AS any_png FROM k)
