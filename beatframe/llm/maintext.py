@@ -39,6 +39,8 @@ _EXACT = frozenset({"ad", "ads", "side", "head", "foot", "like", "more", "tag",
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_NOT_CAPITAL = bytes(i for i in range(256) if not chr(i).isupper())
+_NOT_DIGIT = bytes(i for i in range(256) if not 48 <= i < 58)
 _FIELDS = 24 + len(_TAGS) + 2 * len(_TOKENS) + 6
 
 
@@ -167,8 +169,9 @@ class Page:
                 row[3] += text.count(". ") + text.count("! ") + text.count("? ") + (text.rstrip()[-1] in ".!?")
                 row[4] += text.count(",")
                 letters = text[:400]
-                row[5] += sum(map(str.isupper, letters)) * size / len(letters)
-                row[6] += sum(map(str.isdigit, letters)) * size / len(letters)
+                plain = letters.encode("latin-1", "ignore")
+                row[5] += len(plain.translate(None, _NOT_CAPITAL)) * size / len(letters)
+                row[6] += len(plain.translate(None, _NOT_DIGIT)) * size / len(letters)
                 first[node] = min(first[node], total)
                 total += size
         marks = np.array(self.marks, float)
@@ -454,9 +457,32 @@ def plain_odds(page: Page) -> np.ndarray:
 
 
 def extract_one(source: str, trees: Trees | None) -> str:
-    page = Page(source)
-    odds = trees.odds(page.features()) if trees else plain_odds(page)
-    return page.text(page.decode(odds))
+    return next(extract_some([source], trees))
+
+
+def extract_some(sources: list[str], trees: Trees | None) -> Iterator[str]:
+    """The main text of each page; the trees judge the elements of all pages at once."""
+    pages = [Page(source) for source in sources]
+    if trees is None:
+        odds = [plain_odds(page) for page in pages]
+    elif pages:
+        odds = np.split(trees.odds(np.concatenate([page.features() for page in pages])), np.cumsum([len(page.tag) for page in pages])[:-1])
+    else:
+        odds = []
+    for page, own in zip(pages, odds, strict=True):
+        yield page.text(page.decode(own))
+
+
+def _few(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column, null as empty, in lists of at most 64 pages or little over a million characters."""
+    some, size = [], 0
+    for value in texts:
+        some.append(value.as_py() or "")
+        size += len(some[-1])
+        if len(some) == 64 or size > 1 << 20:
+            yield some
+            some, size = [], 0
+    yield some
 
 
 def extract(pages: DataFrame, trees: Trees | None, keep: Iterable[str] = ("page_id", "url"), html: str = "html") -> DataFrame:
@@ -472,7 +498,7 @@ def extract(pages: DataFrame, trees: Trees | None, keep: Iterable[str] = ("page_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            made = [extract_one(value.as_py() or "", own) for value in batch.column(len(keep))]
+            made = [text for some in _few(batch.column(len(keep))) for text in extract_some(some, own)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.string()), pa.array([len(x) for x in made], pa.int64())], names=[*keep, "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)
