@@ -328,8 +328,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     den * |A and B| >= num * |A or B| for their sets of word n-grams.
 
     Texts with fewer words than an n-gram have their whole word sequence as one; null texts and texts without words have an empty set and
-    are linked with nothing. Rows with a null key have a null component and link with nothing; rows that repeat a key count as one
-    document with several texts; equal sets are linked. An empty table gives an empty one; other columns are left out.
+    are linked with nothing. Rows with a null key have a null component and link with nothing; rows that repeat a key are linked each by
+    its own text; equal sets are linked. An empty table gives an empty one; other columns are left out.
 
     Equal sets meet by a 64-bit name. Signatures are exchanged in parts of bounded size, four bytes each; most sets turn out to have more
     unshared signatures than a partner allows and go no further. The others are first linked with the most central set of each
@@ -360,10 +360,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     against = cut(blocks_beside(open_rows.select(F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("int").alias("part"), "sig", "set_key", "component", "beside")).distinct())
     more = held_against(placed.select("beside", "set_key"), against, features, bands)
     links = links.union(more)
-    reps = sets.select(F.col("set_key").alias("k"), "rep")
-    edges = links.join(reps, links.a == reps.k).select(F.col("rep").alias("u"), "b").join(reps, F.col("b") == reps.k).select("u", F.col("rep").alias("v"))
-    final = components(edges, "u", "v")
-    whole = cut(sets.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")))
+    final = components(links).withColumnRenamed("node", "set_key")
+    whole = sets.join(final, "set_key", "left").select("set_key", "rep", F.coalesce("component", "set_key").alias("component"))
+    least = cut(whole.groupBy("component").agg(F.min("rep").alias("component_id")))
+    whole = cut(whole.join(least, "component").select("set_key", "component_id"))
     out = named.join(whole, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"))
