@@ -437,7 +437,7 @@ def fit(pages: DataFrame, html: str = "html", limit: int = PAGES, seed: int = 17
             rows = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel().astype(np.float64)), _FIELDS).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate(y).astype(np.float64) if y else np.zeros(0))], names=["x", "y"])
 
-    rows = cut(chosen.mapInArrow(run, "x array<double>, y double"))
+    rows = cut(chosen.repartition(8, "html").mapInArrow(run, "x array<double>, y double"))
     kinds = {r.y for r in rows.select("y").distinct().collect()}
     if len(kinds) < 2:
         return None
