@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,6 +172,14 @@ BLOCK_ROWS = 32_768  # queries of a block, on average
 DEGREE = 16  # links of a node in the upper layers; twice as many in the lowest
 BUILD_BEAM = 48
 BEAM = 32  # to begin with
+AUDIT_QUERIES = 4096  # random queries of all blocks that the audit of links begins with; four times as many until enough links are seen
+AUDIT_MOST = 65_536  # queries at which it stops; what it lacks then is made up of planted copies
+LINKS = 400  # links of queries with few of them that the audit asks for
+_FEW = 4  # links from which on a query does not count as one with few
+_WIDEST = 512  # beam after which a query is held against its whole shard instead
+_LAST = 4096  # beam after which all queries are
+_CELLS = 1 << 22  # cosines of a block product
+_PAIRS = 1 << 16  # pairs whose vectors are copied at once
 _TOGETHER = 512  # queries that walk in step
 _STEP = 4  # nodes that each of them opens at a time
 
@@ -321,9 +330,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """key, n_links, component_id and kept of each row: links are pairs with a cosine of at least `least` in double precision.
 
     Equal vectors become one node with a weight. Each shard of nodes gets a small-world graph; every block of nodes searches every shard,
-    a query widens its beam until the beam holds something below `least`, and a block widens all its beams until an audit of a bounded
-    sample against brute force finds the share `recall` of the links. Each block and shard hands on a spanning forest of its
-    links, never the pairs; their union gives the components. Vectors that are null, empty, zero or hold null or non-finite
+    a query widens its beam until the beam holds something below `least`, and one with more than _WIDEST links is held against the whole shard.
+    The beam to begin with is one for all: random queries of all blocks, whether or not anything was found for them, are held against all
+    rows, more of them until LINKS links of queries with fewer than _FEW in a shard are seen (at AUDIT_MOST queries planted copies of
+    random rows stand in for links still lacking), and the beam doubles until the share `recall` is found of the links of few-linked and of
+    each kind of more-linked queries. Each chunk of queries adds to link counts and to one spanning forest per block and shard; no list of
+    pairs is kept. The union of forests gives the components. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing; only vectors of one length are compared. Rows with a null key have a null component, are linked with
     nothing and are not kept; rows that repeat a key count as one node per vector. An empty table gives an empty one; other columns are left out."""
     kind = rows.schema[key].dataType
@@ -345,33 +357,87 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     asks = placed.select("size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.lit("block"), "v"), F.lit(blocks)).cast("int").alias("block"), "rep", "weight", "v")
     spread = graphs.select("size", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "graph")
 
+    def opened(table: pa.Table) -> tuple:
+        reps, weights, x, layers = pickle.loads(table.column("graph")[0].as_py())
+        norms = np.linalg.norm(x, axis=1)
+        world = SmallWorld.__new__(SmallWorld)
+        world.x, world.layers = np.ascontiguousarray(x / norms[:, None], np.float32), layers
+        return reps, weights, x, norms, world
+
+    def linked_in(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The audited queries with true links in this shard, and how many."""
+        if not left.num_rows or not right.num_rows:
+            return right.select(["size", "shard", "rep", "v"]).slice(0, 0).append_column("links", pa.array([], pa.int64()))
+        reps, _, x, norms, _ = opened(left)
+        ids, q = right.column("rep").to_numpy(), _matrix(right.column("v"))
+        links = np.zeros(len(ids), np.int64)
+        for a, b in _product(q, np.linalg.norm(q, axis=1), x, norms, least):
+            links += np.bincount(a[ids[a] != reps[b]], minlength=len(ids))
+        some = np.flatnonzero(links)
+        return right.select(["size", "shard", "rep", "v"]).take(pa.array(some)).append_column("links", pa.array(links[some]))
+
+    def retried(beam: int, probes: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            """For each size of neighbourhood: true links and those that a search with this beam finds."""
+            out: list[tuple] = []
+            if left.num_rows:
+                reps, _, x, norms, world = opened(left)
+                if right.num_rows:
+                    ids, q, links = right.column("rep").to_numpy(), _matrix(right.column("v")), right.column("links").to_numpy()
+                    got = np.zeros(len(ids), np.int64)
+                    for a, b in _pairs(world, q, np.linalg.norm(q, axis=1), x, norms, beam, least):
+                        got += np.bincount(a[ids[a] != reps[b]], minlength=len(ids))
+                    level = np.floor(np.log(links) / np.log(_FEW) + 1e-9).astype(int)
+                    out += [(int(k), int(links[level == k].sum()), int(got[level == k].sum())) for k in np.unique(level)]
+                if probes:
+                    rng = np.random.default_rng(13)
+                    of = rng.choice(len(x), min(len(x), probes), replace=False)
+                    q = _copies(x[of] / norms[of, None], least, rng)
+                    got = sum(int((of[a] == b).sum()) for a, b in _pairs(world, q, np.linalg.norm(q, axis=1), x, norms, beam, least))
+                    out.append((0, len(of), got))
+            return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("level", pa.int32()), ("links", pa.int64()), ("got", pa.int64())))})
+
+        return run
+
+    tries = min(n, AUDIT_QUERIES)
+    while True:
+        drawn = placed if tries >= n else placed.where(F.pmod(F.xxhash64(F.lit("audit"), "v"), F.lit(1 << 40)) < int(tries / n * (1 << 40)))
+        drawn = drawn.select("size", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "rep", "v")
+        truth = cut(graphs.groupBy("size", "shard").cogroup(drawn.groupBy("size", "shard")).applyInArrow(linked_in, "size int, shard int, rep long, v array<double>, links long"))
+        few = int(truth.where(F.col("links") < _FEW).agg(F.sum("links")).first()[0] or 0)
+        if few >= LINKS or tries >= min(n, AUDIT_MOST):
+            break
+        tries = min(n, AUDIT_MOST, 4 * tries)
+    probes = -(-(LINKS - few) // shards) if few < LINKS and tries < n else 0
+    beam = BEAM
+    while True:
+        seen = graphs.groupBy("size", "shard").cogroup(truth.groupBy("size", "shard")).applyInArrow(retried(beam, probes), "level int, links long, got long")
+        if all(r.got >= recall * r.links for r in seen.groupBy("level").agg(F.sum("links").alias("links"), F.sum("got").alias("got")).collect()):
+            break
+        beam *= 2
+        if beam > _LAST:
+            beam = n  # every query is held against whole shards
+            break
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["node", "links", "root"]
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
-        reps, weights, x, layers = pickle.loads(left.column("graph")[0].as_py())
-        norms = np.linalg.norm(x, axis=1)
-        world = SmallWorld.__new__(SmallWorld)
-        world.x, world.layers = np.ascontiguousarray(x / norms[:, None], np.float32), layers
+        reps, weights, x, norms, world = opened(left)
         ids, q = right.column("rep").to_numpy(), _matrix(right.column("v"))
-        own = np.linalg.norm(q, axis=1)
-        unit = np.ascontiguousarray(q / own[:, None], np.float32)
-        beam = BEAM
-        while True:
-            a, b = _links(world, unit, beam, least)
-            exact = np.einsum("ij,ij->i", q[a], x[b]) / (own[a] * norms[b])
-            ok = (exact >= least) & (ids[a] != reps[b])
-            a, b = a[ok], b[ok]
-            if beam >= len(x) or _audited(q, own, x, norms, ids, reps, a, b, least) >= recall:
-                break
-            beam *= 2
-        links = np.bincount(a, weights[b], len(ids)).astype(np.int64)
+        links = np.zeros(len(ids), np.int64)
         every, where = np.unique(np.concatenate([ids, reps]), return_inverse=True)
-        label = every[forest_of(len(every), where[: len(ids)][a], where[len(ids) :][b])]
+        label = np.arange(len(every))
+        for a, b in _pairs(world, q, np.linalg.norm(q, axis=1), x, norms, beam, least):
+            ok = ids[a] != reps[b]
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, weights[b], len(ids)).astype(np.int64)
+            label = _joined(label, where[a], where[len(ids) + b])
         links_of = np.zeros(len(every), np.int64)
         np.add.at(links_of, where[: len(ids)], links)
-        some = (links_of > 0) | (label != every)
-        return pa.table({"node": every[some], "links": links_of[some], "root": label[some]})
+        root = every[label]
+        some = (links_of > 0) | (root != every)
+        return pa.table({"node": every[some], "links": links_of[some], "root": root[some]})
 
     found = cut(spread.groupBy("size", "shard", "block").cogroup(asks.groupBy("size", "shard", "block")).applyInArrow(search, "node long, links long, root long"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
@@ -382,28 +448,63 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
-def _links(world: SmallWorld, unit: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of query and node with a cosine of about `least` or more; a query whose beam holds nothing else widens it."""
-    a, b = [], []
-    low = np.float32(least - 1e-5)
-    for s in range(0, len(unit), _TOGETHER):
-        left = np.arange(s, min(len(unit), s + _TOGETHER))
-        width = beam
-        while len(left):
-            found, cos = world.search(unit[left], width)
-            full = (cos[:, -1] >= low) & (found.shape[1] < len(world.x))
-            hit = (cos >= low) & (found >= 0) & ~full[:, None]
-            i, j = np.nonzero(hit)
-            a.append(left[i])
-            b.append(found[i, j])
-            left, width = left[full], width * 2
-    return np.concatenate(a), np.concatenate(b)
+def _exact(q: np.ndarray, own: np.ndarray, x: np.ndarray, norms: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs in double precision, a bounded number of vectors at once."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), _PAIRS):
+        i, j = a[s : s + _PAIRS], b[s : s + _PAIRS]
+        out[s : s + _PAIRS] = np.einsum("ij,ij->i", q[i], x[j]) / (own[i] * norms[j])
+    return out
+
+
+def _product(q: np.ndarray, own: np.ndarray, x: np.ndarray, norms: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of query and row with a cosine of at least `least`, a bounded block of cosines at a time."""
+    step = max(1, _CELLS // len(x))
+    for s in range(0, len(q), step):
+        cos = (q[s : s + step] @ x.T) / (own[s : s + step, None] * norms)
+        hit = cos >= least
+        i, j = np.nonzero(np.abs(cos - least) < 1e-9)  # where the order of a sum may decide, as for single pairs
+        hit[i, j] = _exact(q, own, x, norms, s + i, j) >= least
+        a, b = np.nonzero(hit)
+        yield s + a, b
 
 
-def _audited(q: np.ndarray, own: np.ndarray, x: np.ndarray, norms: np.ndarray, ids: np.ndarray, reps: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """The share of true links that were found, over a sample of queries: some at random, some that have links."""
-    rng = np.random.default_rng(13)
-    tried = np.unique(np.concatenate([rng.choice(len(q), min(len(q), AUDIT), replace=False), rng.choice(a, min(len(a), AUDIT), replace=False) if len(a) else np.zeros(0, np.int64)]))
-    true = ((q[tried] @ x.T) / (own[tried][:, None] * norms[None, :]) >= least) & (ids[tried][:, None] != reps[None, :])
-    got = np.isin(a, tried).sum()
-    return float(got / true.sum()) if true.sum() else 1.0
+def _pairs(world: SmallWorld, q: np.ndarray, own: np.ndarray, x: np.ndarray, norms: np.ndarray, beam: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of query and row with a cosine of at least `least`, a chunk of queries at a time. A query whose beam holds nothing else
+    widens it, and is held against all rows when it is wider than _WIDEST."""
+    low = np.float32(least - 1e-5)
+    for s in range(0, len(q), _TOGETHER):
+        left, width = np.arange(s, min(len(q), s + _TOGETHER)), beam
+        while len(left) and width < len(x) and width <= max(beam, _WIDEST):
+            found, cos = world.search(np.ascontiguousarray(q[left] / own[left, None], np.float32), width)
+            full = cos[:, -1] >= low
+            i, j = np.nonzero((cos >= low) & (found >= 0) & ~full[:, None])
+            a, b = left[i], found[i, j]
+            ok = _exact(q, own, x, norms, a, b) >= least
+            yield a[ok], b[ok]
+            left, width = left[full], width * 2
+        if len(left):
+            for a, b in _product(q[left], own[left], x, norms, least):
+                yield left[a], b
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest node of each group) after more pairs."""
+    u, v = label[a], label[b]
+    new = u != v
+    u, v = u[new], v[new]
+    if not len(u):
+        return label
+    roots, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    to = np.arange(len(label))
+    to[roots] = roots[forest_of(len(roots), at[: len(u)], at[len(u) :])]
+    return to[label]
+
+
+def _copies(unit: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector one in a random direction from it, at a cosine between `least` and halfway to 1."""
+    side = rng.standard_normal(unit.shape)
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    cos = rng.uniform(least + 1e-9, (1 + least) / 2, (len(unit), 1))
+    return cos * unit + np.sqrt(1 - cos * cos) * side

@@ -146,3 +146,15 @@ def test_near_duplicate_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert got[None].component_id is None and not got[None].kept
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rare_links_are_found(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:200] = vectors._copies(x[1000:1200], 0.9, rng)  # 1% in pairs
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_duplicates(df, shards=1).collect()}
+    assert all(got[i].n_links == 0 for i in range(2000, 20_000))
+    assert sum(got[i].n_links for i in range(1200)) >= vectors.RECALL * 400
+    assert sum(got[1000 + i].component_id == i for i in range(200)) >= vectors.RECALL * 200
