@@ -158,3 +158,36 @@ def test_rare_links_are_found(spark):
     assert all(got[i].n_links == 0 for i in range(2000, 20_000))
     assert sum(got[i].n_links for i in range(1200)) >= vectors.RECALL * 400
     assert sum(got[1000 + i].component_id == i for i in range(200)) >= vectors.RECALL * 200
+
+
+def test_a_dense_third_keeps_no_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 16))
+    x[:1000] = x[0] + 0.02 * rng.standard_normal((1000, 16))
+    own = np.linalg.norm(x, axis=1)
+    unit = x / own[:, None]
+    near = unit @ unit.T >= 0.9
+    want = smallest_of(near)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    assert all(got[i].n_links == near[i].sum() - 1 for i in range(1000)) and [got[i].component_id for i in range(1000)] == want[:1000]
+    world = vectors.SmallWorld(unit[:600])
+    label, pairs = np.arange(600), 0
+    for a, b in vectors._pairs(world, x[:600], own[:600], x[:600], own[:600], vectors.BEAM, 0.9):
+        assert len(a) <= vectors._CELLS
+        pairs += len(a)
+        label = vectors._joined(label, a, b)
+    assert pairs == near[:600, :600].sum() and (label == 0).all()
+
+
+def smallest_of(near):
+    label = list(range(len(near)))
+    for i in range(len(near)):
+        if label[i] == i:
+            open_at = [i]
+            while open_at:
+                for k in np.flatnonzero(near[open_at.pop()]).tolist():
+                    if k > i and label[k] == k:
+                        label[k] = i
+                        open_at.append(k)
+    return label
