@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -63,7 +64,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 CUES = re.compile(r"licen[sc]|copyright|\ball rights reserved\b|redistribut|permission is|warrant|creative commons|\bcc[ -](?:by|0)|public domain|spdx|general public", re.I)
 _PARTS = ("licen", "copyright", "all rights reserved", "redistribut", "permission is", "warrant", "creative commons", "cc by", "cc-by", "cc 0", "cc-0", "public domain", "spdx", "general public")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-_RANKED = 4  # templates that are compared word by word: those with the largest reductions
 LEAST_WORDS = 0.9  # of a template that a block holds in order
 
 
@@ -102,18 +102,12 @@ class Scanner:
         present = set(words)
         ranked = sorted(((1 - len(c.compress(data)) / size, name, own) for name, own, own_set, c in self.entries if 2 * len(own_set & present) >= len(own_set)), key=lambda x: (-x[0], x[1], x[2]))
         found: list[tuple] = []
-        for reduction, name, own in ranked[:_RANKED] + [r for r in ranked[_RANKED:] if r[0] > 0.5]:
-            blocks = [b for b in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if b.size]
-            matched = sum(b.size for b in blocks) / len(own)
-            if not blocks or matched < LEAST_WORDS:
-                continue
-            kept = {i for b in blocks for i in range(b.a, b.a + b.size)}
-            missing = tuple(w for i, w in enumerate(own) if i not in kept)
-            first, last = blocks[0].b, blocks[-1].b + blocks[-1].size - 1
-            exact = not missing and last - first + 1 == len(own)
-            if any(_names(w) for w in missing) or last - first + 1 > 1.5 * len(own) + 4:
-                continue  # the words that tell one license from the next must be there, and close together
-            found.append((name, spans[first][1], spans[last][2], round(float(reduction), 6), matched, missing, exact))
+        for reduction, name, own in ranked:
+            for blocks in _alignments(own, words):
+                kept = {i for b in blocks for i in range(b.a, b.a + b.size)}
+                missing = tuple(w for i, w in enumerate(own) if i not in kept)
+                first, last = blocks[0].b, blocks[-1].b + blocks[-1].size - 1
+                found.append((name, spans[first][1], spans[last][2], round(float(reduction), 6), len(kept) / len(own), missing, not missing and last - first + 1 == len(own)))
         out: list[tuple] = []
         for f in sorted(found, key=lambda f: (-f[6], -f[4], -(f[2] - f[1]), f[0])):  # of overlapping ones the closest wording stays
             if all(f[2] <= o[1] or f[1] >= o[2] for o in out):
@@ -132,6 +126,38 @@ class Scanner:
                 yield Found(name, cue[0] + a, cue[0] + b, reduction, matched, missing, exact)
 
 
+def _alignments(own: tuple[str, ...], words: list[str]) -> Iterator[list[difflib.Match]]:
+    """Every place of a template among words that do not overlap: the matching runs around the longest one, and again on the words
+    before and after. Nine tenths of the template are there, close together, and no word is missing that tells licenses apart."""
+    need, width = LEAST_WORDS * len(own), int(1.5 * len(own) + 4)
+    mine = set(own)
+    held = [0, *itertools.accumulate(w in mine for w in words)]
+    open_at: list[list[int]] = []  # ranges whose words could be enough
+    for s, word in enumerate(words):
+        if word in mine and held[min(s + width, len(words))] - held[s] >= need:
+            if open_at and s <= open_at[-1][1]:
+                open_at[-1][1] = min(s + width, len(words))
+            else:
+                open_at.append([s, min(s + width, len(words))])
+    if not open_at:
+        return
+    match = difflib.SequenceMatcher(None, own, words, autojunk=False)
+    while open_at:
+        low, high = open_at.pop()
+        if held[high] - held[low] < need:
+            continue
+        anchor = match.find_longest_match(0, len(own), low, high)
+        start = max(low, anchor.b + anchor.size - width)
+        near = difflib.SequenceMatcher(None, own, words[start : min(high, anchor.b + width)], autojunk=False).get_matching_blocks()
+        blocks = [difflib.Match(b.a, start + b.b, b.size) for b in near if b.size]
+        kept = {i for b in blocks for i in range(b.a, b.a + b.size)}
+        first, last = anchor.b, anchor.b + anchor.size
+        if len(kept) >= need and blocks[-1].b + blocks[-1].size - blocks[0].b <= 1.5 * len(own) + 4 and not any(_names(w) for i, w in enumerate(own) if i not in kept):
+            first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
+            yield blocks
+        open_at += [[low, first], [last, high]]
+
+
 def _names(word: str) -> bool:
     """Words that change which license a notice names."""
     return bool(re.search(r"\d", word)) or word in {"affero", "lesser", "apache", "mit", "mozilla", "noncommercial", "sharealike", "by-nc", "by-sa", "by", "neither", "cc0", "not"}
@@ -168,8 +194,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     template saves), matched (share of its words that are there in order), missing (array<string>: its words that are not) and exact.
 
     Candidate blocks are runs of lines with a cue. Each is compressed with every template that shares half of its words as raw
-    dictionary; the largest reductions are confirmed by the differences in wording: nine tenths of the words in order and close
-    together, and none missing that tells licenses apart. Of overlapping findings the closest wording stays, ties by name. Null
+    dictionary, and each of these is confirmed by the differences in wording, wherever and however often it stands: nine tenths of the
+    words in order and close together, and none missing that tells licenses apart. Of overlapping findings the closest wording stays, ties by name. Null
     and empty texts have no rows; null keys stay; each of repeated rows is scanned; an empty table gives an empty one; other columns are left out."""
     chosen = TEMPLATES if templates is None else templates
     rows = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))

@@ -143,6 +143,19 @@ def test_licenses(spark):
     assert sum(r.doc_id is None for r in rows) == 1 and licenses.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lines", [
+    [("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("Proprietary", "All rights reserved.")],
+    [("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("Proprietary", "All rights reserved.")],
+    [("MIT", "Released under the MIT License."), ("Proprietary", "All rights reserved."), ("MIT", "Released under the MIT License."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("MIT", "Licensed under the MIT License.")],
+    [("BSD-2-Clause", licenses.TEMPLATES["BSD-2-Clause"][0]), ("BSD-3-Clause", licenses.TEMPLATES["BSD-3-Clause"][0]), ("Proprietary", "All rights reserved."), ("BSD-2-Clause", licenses.TEMPLATES["BSD-2-Clause"][0])],
+])
+def test_stacked_licenses(lines):
+    text = "\n".join(line for _, line in lines)
+    found = list(licenses.Scanner(licenses.TEMPLATES).scan(text))
+    assert [(f.license, f.exact) for f in found] == [(name, True) for name, _ in lines]
+    assert [f.start for f in found] == [sum(len(x) + 1 for _, x in lines[:i]) for i in range(len(lines))]
+
+
 def test_licenses_of_all_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary"}
