@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 
 CACHED = 1 << 20  # words whose ids a worker keeps; the cache is emptied when it is full
 _LONGEST = 48  # longer words are not kept
+_BESIDE = re.compile(r"\s\s|\A\s|\s\Z")  # what a text has none of if each space in it stands between two other characters
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _TOGETHER = 1 << 19  # characters of texts that are encoded in one call, and what the last of them has more
 
 
@@ -96,18 +99,15 @@ class ByteBpe:
         return [array("I", itertools.chain.from_iterable(itertools.islice(ids, len(matches)))).tobytes() for matches in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. A text without two spaces in a row, and without one at an end, is cut before each space: the
+        """The ids of each text. A text is cut before each space that stands between two characters other than white space: the
         pattern never joins what stands on both sides of such a cut, so each part is encoded by itself. What the cache lacks
         is encoded in one call for all texts."""
         if len(self.cache) > CACHED:
             self.cache.clear()
         cache, own = self.cache, {}
-        parts = [text.split(" ") for text in texts]
-        whole = [i for i, p in enumerate(parts) if "" in p]
-        for i in whole:
-            parts[i] = []
+        parts = [_CUT.split(text) if _BESIDE.search(text) else text.split(" ") for text in texts]
         new = list({x for p in parts for x in p[1:] if x not in cache})
-        first = [p[0] if p else text for p, text in zip(parts, texts, strict=True)]
+        first = [p[0] for p in parts]
         made = self._plain(first + [" " + x for x in new])
         for x, ids in zip(new, made[len(first) :], strict=True):
             (cache if len(x) <= _LONGEST else own)[x] = ids

@@ -47,6 +47,14 @@ def test_any_text_encodes_as_the_library_does(reference, text):
     assert codec.decode(ids) == text.encode()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(" \u00a0\t\nxy"))
+def test_white_space_of_all_kinds_encodes_as_the_library_does(reference, text):
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    for t in (text, "x \u00a0 \u00a0 y", text + " word \u00a0 " + text):
+        assert np.frombuffer(codec.encode([t, "a b"])[0], "<u4").tolist() == reference.encode_ordinary(t)
+
+
 def test_documents_as_the_library_encodes_them(docs, reference):
     out = bpe.byte_bpe(docs, RANKS, public_tokenizers.PATTERN, outputs=("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"))
     rows = out.collect()
