@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from beatframe.llm.common import blocks_of, cut, text_bytes
 
 LIMIT = 1500  # different texts of each language that likelihoods are learnt from, on average
-LANGUAGES = 64  # languages that are told apart, at most: the most frequent ones
 STRENGTH = 20.0  # rows that a coarser prior counts as when a finer one is formed
 FREE = 40.0  # letter groups of a text that count in full; those of a longer one are scaled down to this plus a tenth
+BACKED = 1000.0  # letter groups that the background counts as in the likelihood of a language
 UNKNOWN = "und"
 _BITS = 16
 
@@ -56,7 +56,7 @@ def visible(html: bytes) -> bytes:
 
 @dataclass
 class Likelihoods:
-    languages: list[str]
+    languages: list[str]  # the last is UNKNOWN, a text in none of the others
     log_p: np.ndarray  # of each letter group in each language
 
     def score(self, data: bytes) -> np.ndarray | None:
@@ -71,32 +71,62 @@ class Likelihoods:
         return total - total.max()
 
 
-def learn(docs: DataFrame, text: str = "text", language: str = "lang", limit: int = LIMIT, most: int = LANGUAGES) -> Likelihoods:
-    """Letter-group likelihoods from about `limit` different texts of each of the `most` most frequent declared languages. They are
-    chosen by the hash of the text, so the same texts serve whatever the partitioning, and copies count once."""
-    tagged = docs.select(F.lower(F.trim(docs[language])).alias("lang"), docs[text].alias("text")).where("lang is not null and lang <> '' and text is not null")
-    counts = tagged.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    languages = sorted(r.lang for r in counts)
+def background(letters: np.ndarray) -> np.ndarray:
+    """Probability of each place for a text in none of the languages: half of it letters of all languages, drawn one by one, half any group."""
+    codes = np.unique(_FOLD)
+    p = letters[codes] + 0.5
+    p = p / p.sum()
+    middle = np.where(codes > 0, p, 0) / p[codes > 0].sum()
+    two = (codes[:, None] << np.uint32(16)) | (codes[None, :] << np.uint32(8))
+    out = np.zeros(1 << _BITS)
+    for last, share in zip(codes, p, strict=True):
+        places = ((two | last) * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
+        out += np.bincount(places.ravel(), (p[:, None] * middle[None, :] * share).ravel(), 1 << _BITS)
+    return 0.5 * out + 0.5 / (1 << _BITS)
+
+
+def learn(docs: DataFrame, text: str = "text", language: str = "lang", limit: int = LIMIT) -> Likelihoods:
+    """Letter-group likelihoods from about `limit` different texts of each declared language, and those of `background` for a text in none
+    of them. Texts are chosen by their hash, so the same ones serve whatever the partitioning; copies count once, in the share too."""
+    tagged = docs.select(F.lower(F.trim(docs[language])).alias("lang"), docs[text].alias("text")).where(f"lang is not null and lang not in ('', '{UNKNOWN}') and text is not null")
+    different = tagged.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = different.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
+    languages = [r.lang for r in counts]
     if not languages:
         return Likelihoods([], np.zeros((1 << _BITS, 0), np.float32))
-    share = {r.lang: min(1.0, limit / r.n) for r in counts}
-    wanted = F.coalesce(*[F.when(F.col("lang") == x, F.lit(share[x])) for x in languages], F.lit(0.0))
-    chosen = tagged.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < wanted * 1_000_000).distinct()
+    # the texts with the smallest hashes of a language, so that one with few texts is never without any
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, limit / r.n)) for r in counts], "lang string, share double")
+    least = different.groupBy("lang").agg(F.min(F.pmod("h", F.lit(1_000_000))).alias("least"))
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    chosen = tagged.join(F.broadcast(share.join(least, "lang")), "lang").where((place < F.col("share") * 1_000_000) | (place == F.col("least"))).select("lang", "text").distinct()
     number = {x: i for i, x in enumerate(languages)}
+    k = len(languages)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << _BITS), np.int64)
+        counts: dict[int, np.ndarray] = {}
+        letters = np.zeros(256, np.int64)
         for batch in batches:
             for lang, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                counts[number[lang]] += np.bincount(grams(data), minlength=1 << _BITS)
-        of, place = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(counts[of, place])], names=["of", "place", "n"])
+                mine = counts.setdefault(number[lang], np.zeros(1 << _BITS, np.int64))
+                mine += np.bincount(grams(data), minlength=1 << _BITS)
+                for part in blocks_of(data):
+                    codes = _FOLD[np.frombuffer(part, np.uint8)]
+                    letters += np.bincount(codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))[: len(codes)]], minlength=256)
+        for of, all_n in [*counts.items(), (k, letters)]:
+            where = np.flatnonzero(all_n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), of, np.int32)), pa.array(where.astype(np.int32)), pa.array(all_n[where])], names=["of", "place", "n"])
 
     found = chosen.mapInArrow(run, "of int, place int, n long").groupBy("of", "place").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((1 << _BITS, len(languages)), 0.5)
+    table = np.zeros((1 << _BITS, k))
+    letters = np.zeros(256)
     if found.num_rows:
-        table[found.column("place").to_numpy(), found.column("of").to_numpy()] += found.column("n").to_numpy()
-    return Likelihoods(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+        of, place, n = (found.column(c).to_numpy() for c in ("of", "place", "n"))
+        table[place[of < k], of[of < k]] += n[of < k]
+        letters[place[of == k]] = n[of == k]
+    other = background(letters)
+    table += BACKED * other[:, None]  # so little text does not make a language less likely than none
+    log_p = np.log(np.column_stack([table / table.sum(axis=0), other / other.sum()]))
+    return Likelihoods([*languages, UNKNOWN], log_p.astype(np.float32))
 
 
 def suffix_of(url: Column) -> Column:
@@ -126,7 +156,8 @@ def identify(rows: DataFrame, likelihoods: Likelihoods, keep: Iterable[str], tex
     Evidence is multiplied: the text's letter groups; P(declared language | language) and P(suffix | language), counted over all rows by
     the language that their texts alone give; and a prior of the host, smoothed towards that of its domain, which is smoothed
     towards all rows', each coarser one counting as STRENGTH rows. Nulls in declared, suffix or host are no evidence; a text without
-    letters (null, empty) leaves the rest to decide, and with no evidence at all the language is `und`. markup: text is HTML.
+    letters (null, empty) leaves the rest to decide, and with no evidence at all the language is `und`. So it is where letters drawn one by
+    one explain the text better than every language does: `und` is an outcome like the others and is not kept. markup: text is HTML.
     Rows with nulls in keep and repeated rows stay; an empty table gives an empty one; other columns are left out."""
     keep = list(keep)
     k = len(likelihoods.languages)

@@ -29,9 +29,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified: text, declared language and source together leave one with a posterior of 0.5 or more.
 
-    Of rows that repeat a doc_id all go if one is rejected; rows without a doc_id stay. Only rejected ids are joined with the texts."""
-    rejected = cut(language.identify_documents(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    Each row goes or stays by its own decision, whatever its doc_id. The decision follows from text, language and source alone, so only
+    128-bit hashes of these are joined with the texts."""
+    parts = [F.xxhash64(F.lit(i), *[x for c in ("text", "lang", "source") for x in (docs[c].isNull(), docs[c])]) for i in (1, 2)]
+    rows = docs.select(*docs.columns, parts[0].alias("__row_1"), parts[1].alias("__row_2"))
+    decided = language.identify_documents(rows, language.learn(docs), keep=("__row_1", "__row_2"))
+    rejected = cut(decided.where("not kept").select("__row_1", "__row_2").distinct())
+    return rows.join(rejected, ["__row_1", "__row_2"], "left_anti").select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

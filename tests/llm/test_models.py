@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from beatframe.llm import language, licenses, maintext, quality, queries, samples, toxicity
 
 SMALL = "/root/testdata/sf0.01"
@@ -118,6 +120,32 @@ def test_language_evidence(spark):
     assert [r.language for r in language.identify_documents(asked, nothing).collect()] == ["und"] * 7
 
 
+def test_unknown_language_and_junk_are_rejected(spark):
+    rng = random.Random(4)
+    pools = {"en": "the cat and dog went to house of king with many other small friends from town before it was dark".split(), "de": "der hund und die katze gingen in das haus des königs mit vielen anderen kleinen freunden aus stadt bevor es dunkel wurde".split()}
+    say = lambda words, n=40: " ".join(rng.choices(words, k=n))
+    known = [(i, say(pools[lang]), lang, "s") for i, lang in enumerate(["en", "de"] * 150)]
+    other = "kissa ja koira menivät kuninkaan taloon ystävien kanssa ennen pimeää yksi päivä myöhemmin".split()
+    junk = ["".join(rng.choices("0123456789abcdef", k=400)), "".join(rng.choices("qxzjkvwpbg", k=300)), "x## %% q$$ z@@ k!! " * 20, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(30))]
+    bad = [(None if i % 2 else 1000 + i, x, None, "s") for i, x in enumerate([say(other) for _ in range(6)] + junk)]
+    rare = [(2000 + i, say([w + "zsz" for w in pools["en"]]), f"x{i}", "s") for i in range(70)]
+    docs = spark.createDataFrame(known + bad, "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.of_known_language(spark, docs, SMALL)
+    assert {r.text for r in kept.collect()} == {r[1] for r in known} and kept.columns == docs.columns
+    told = language.identify_documents(docs).where("doc_id is null or doc_id >= 1000").collect()
+    assert len(told) == len(bad) and {(r.language, r.kept) for r in told} == {("und", False)}
+    model = language.learn(docs.union(spark.createDataFrame(rare, docs.schema)))
+    assert set(model.languages) == {"en", "de", "und"} | {f"x{i}" for i in range(70)}
+    assert np.allclose(np.exp(model.log_p.astype(float)).sum(axis=0), 1, atol=1e-3)
+
+
+def test_a_language_of_copies_is_learnt(spark):
+    rows = [(i, "one and the same text that was copied", "aa") for i in range(5000)] + [(9000 + i, f"ein anderer text nummer {i}", "bb") for i in range(50)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), limit=10)
+    own = model.score(b"one and the same text that was copied")
+    assert model.languages[int(own.argmax())] == "aa"
+
+
 def test_address_parts(spark):
     urls = ["https://m.site.example.de/en/12?x=1", "http://host.fr", "ftp://a.b/c", None, "no address", "https://x.org/enable/1"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
