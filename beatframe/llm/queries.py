@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, jaccard, language, licenses, maintext, packing, quality, samples, toxicity, vectors
+from beatframe.llm import bpe, jaccard, language, licenses, maintext, merkle, packing, quality, samples, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,38 @@ def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, folder, "pages")
     return maintext.extract(pages, maintext.fit(pages))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its possibly tampered form still leads to the root."""
+    return merkle.document_manifest(table(spark, folder, "documents"))
+
+
+#: crc32 of decimal texts, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(8 * length({0})), lambda i: ((ord(({0})[i // 8 + 1]) >> (i % 8)::INT) & 1)::UBIGINT)), lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384)), 4294967295::UBIGINT)"""
+
+_FIELD = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+_LEAF = " || ".join(_FIELD.format(x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}"))
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_LEAF.format("text")}) AS leaf,
+  CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 2 = 0 THEN sha256({_LEAF.format("replace(text, chr(10), '')")}) END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM d),
+t(level, source, pos, m, h) AS (SELECT 0, source, pos, m, leaf FROM l
+  UNION ALL SELECT level + 1, source, pos // 3, (m + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE m > 1 GROUP BY level, source, pos // 3, m),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS m FROM t WHERE m = 1),
+u(level, pos, m, h) AS (SELECT 0, pos, m, subroot FROM s
+  UNION ALL SELECT level + 1, pos // 3, (m + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE m > 1 GROUP BY level, pos // 3, m),
+step AS (
+  SELECT l.doc_id, l.source, l.pos, 0 AS tree, t.level, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < l.pos // (3 ** t.level)::BIGINT) AS a, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > l.pos // (3 ** t.level)::BIGINT) AS b
+  FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source AND t.pos // 3 = l.pos // (3 ** (t.level + 1))::BIGINT AND t.m > 1 GROUP BY ALL
+  UNION ALL SELECT l.doc_id, l.source, l.pos, 1, u.level, string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.pos // (3 ** u.level)::BIGINT), string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.pos // (3 ** u.level)::BIGINT)
+  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN u ON u.pos // 3 = s.pos // (3 ** (u.level + 1))::BIGINT AND u.m > 1 GROUP BY ALL),
+p AS (SELECT source, pos, sha256(string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY tree, level)) AS proof_sha256, list(struct_pack(a := coalesce(a, ''), b := coalesce(b, '')) ORDER BY tree, level) AS steps FROM step GROUP BY ALL),
+f(source, pos, k, h) AS (SELECT source, pos, 0, coalesce(tampered, leaf) FROM l
+  UNION ALL SELECT f.source, f.pos, k + 1, sha256(p.steps[k + 1].a || h || p.steps[k + 1].b) FROM f JOIN p ON p.source IS NOT DISTINCT FROM f.source AND p.pos = f.pos WHERE k < len(p.steps))
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT h FROM u WHERE m = 1) r LEFT JOIN p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
+JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.pos = l.pos AND f.k = coalesce(len(p.steps), 0)
+"""
