@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, jaccard, language, licenses, maintext, merkle, packing, quality, samples, toxicity, vectors
+from beatframe.llm import bpe, conversations, jaccard, language, licenses, maintext, merkle, packing, quality, samples, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,3 +144,49 @@ SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, coalesce(p.proof_sha256, sha256
 FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT h FROM u WHERE m = 1) r LEFT JOIN p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
 JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.pos = l.pos AND f.k = coalesce(len(p.steps), 0)
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage."""
+    return conversations.repair(table(spark, folder, "conversations"))
+
+
+def _option(cost: str, letter: str, text: str, of: str) -> str:
+    return f"struct_pack(c := {cost} + {of}.c, a := '{letter}' || {of}.a, t := {text} || {of}.t)"
+
+
+def _repair_sql() -> str:
+    """Costs from the last row back, four states at a time (1 nothing yet, 2 system, 3 user, 4 assistant), each with its ASCII-least audit and its text."""
+    forced, name = {1: 3, 2: 3, 3: 4, 4: 3}, {3: "user", 4: "assistant"}
+    none = "struct_pack(c := 1000000000, a := '', t := '')"
+    own, full = [], []
+    for s, to in forced.items():
+        kept = " ".join(f"WHEN k = '{k}' AND NOT gone THEN {_option('cut_off', 'K', 'chr(10) || role || chr(58) || text', f'V[{t}]')}" for (f, k), t in {(1, "s"): 2, (1, "u"): 3, (2, "u"): 3, (4, "u"): 3, (3, "a"): 4}.items() if f == s)
+        rerole = f"CASE WHEN gone THEN {none} ELSE {_option('2 + cut_off', 'R', f'chr(10) || $${name[to]}:$$ || text', f'V[{to}]')} END"
+        own.append(f"list_min([{_option('3', 'D', repr(''), f'V[{s}]')}, CASE {kept} ELSE {none} END, {rerole}])")
+        one, two = f"chr(10) || '{name[to]}:'", f"chr(10) || '{name[to]}:' || chr(10) || '{name[forced[to]]}:'"
+        full.append(f"list_min([W[{s}], {_option('2', 'I', one, f'W[{to}]')}, {_option('4', 'II', two, f'W[{forced[to]}]')}])")
+    end = "[struct_pack(c := 0, a := '', t := ''), struct_pack(c := 4, a := 'II', t := chr(10) || 'user:' || chr(10) || 'assistant:'), struct_pack(c := 2, a := 'I', t := chr(10) || 'assistant:'), struct_pack(c := 0, a := '', t := '')]"
+    code = CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {code} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM o, (VALUES (0), (1)) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+  count(*) OVER (PARTITION BY conv_id) AS n, rtrim(text, {space}) AS bare, left(role, 1) AS k FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(k) OVER (PARTITION BY conv_id ORDER BY i) || k AS pair FROM r),
+g AS (SELECT conv_id, i, n, role, text, k, fault IN (1, 2) AS gone, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS cut_off FROM f),
+v(conv_id, i, V) AS (SELECT conv_id, n + 1, {end} FROM g WHERE i = 1
+  UNION ALL SELECT conv_id, i, [{", ".join(full)}] FROM (SELECT g.conv_id, g.i, [{", ".join(own)}] AS W FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i - 1)),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(V[1].c, 0)::BIGINT AS cost, coalesce(V[1].a, '') AS audit, sha256(coalesce(substr(V[1].t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1
+"""
+
+
+ORACLE["op13_conversation_repair"] = _repair_sql()
