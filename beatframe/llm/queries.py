@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from beatframe.llm import bpe, conversations, jaccard, language, licenses, maintext, merkle, packing, quality, samples, toxicity, vectors
+from beatframe.llm import bpe, conversations, jaccard, language, licenses, maintext, merkle, packing, quality, samples, secrets, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -190,3 +190,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS
 
 
 ORACLE["op13_conversation_repair"] = _repair_sql()
+
+
+@query
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of the fixed patterns and strings that look random, in every document."""
+    docs = table(spark, folder, "documents")
+    return secrets.report(secrets.scan(docs, secrets.fit(secrets.labelled(docs))))
