@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ _LONGEST = 48  # longer words are not kept
 
 class Words:
     """Ids of texts as little-endian unsigned 32-bit integers. The tokenizer drops white space and joins nothing across it, so
-    the ids of a text are those of its parts between spaces; parts seen before are looked up."""
+    the ids of a text are those of its parts between spaces, tabs and line ends; parts seen before are looked up."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -33,8 +34,8 @@ class Words:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _ids(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of new parts. Capitals have the ids of small letters, and a full stop or comma after a letter is a word by itself,
@@ -53,13 +54,14 @@ class Words:
                 need.add(core)
         letters = [x for x in need if x.isalpha() and x.lower().isalpha()]
         if letters:
-            ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
             if len(ends) == len(letters):
                 flat = ids.tobytes()
                 own.update((x, flat[a:b]) for x, a, b in zip(letters, [0, *ends[:-1]], ends, strict=True))
                 need.difference_update(letters)
-        own.update((x, self._ids(x)) for x in need)
+        rest = list(need)
+        own.update(zip(rest, self._ids(rest), strict=True))
         for part, core, tail in made:
             ids = own[core] if core in own else cache[core]
             own[part] = ids + (own[tail] if tail in own else cache[tail]) if tail else ids
@@ -69,7 +71,7 @@ class Words:
         if len(self.cache) > CACHED:
             self.cache.clear()
         cache = self.cache
-        parts = [text.split(" ") for text in texts]
+        parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         new = {x for p in parts for x in p if x not in cache}
         found = self._learn(new) if new else {}
         long = {x: ids for x, ids in found.items() if len(x) > _LONGEST}
