@@ -11,6 +11,7 @@ from ..functions.lexicon import match_lexicon
 from ..views import Views
 from .catalog import CUES, SCENE, joined, planted, query
 from .catalog_text import gray
+from . import finalize
 from .repair import repair_loop
 from .resolve import resolve
 from .storyboard import storyboard
@@ -575,6 +576,37 @@ def plans_repaired(v: Views) -> DataFrame:
     return out.select(*SCENE, "asset", "asset_kind", "query", "source_mode")
 
 
+def half_resolved(v: Views) -> DataFrame:
+    """Described scenes with visuals of which some repeat and, in strict plans, some are missing."""
+    n = F.col("plan_id") + F.col("scene_idx")
+    strict = F.col("plan_id") % 2 == 0
+    missing = strict & (F.col("scene_idx") % 4 == 1)
+    asset = F.when(~missing, F.concat(F.lit("Clip"), F.when(n % 5 == 0, 0).otherwise(F.col("scene_idx")).cast("string")))
+    kind = F.when(missing, "blank").when(F.col("visual_mode") == "video", "video").otherwise("image")
+    return described(v).withColumns({"strict": strict, "action_first": F.col("plan_id") % 3 == 0, "asset": asset, "asset_kind": kind})
+
+
+def spare(todo: DataFrame, step: finalize.Step) -> DataFrame:
+    """What a search of the final passes finds: less on the early rungs, and spare files that may repeat."""
+    i, n = F.col("scene_idx"), F.col("plan_id") + F.col("scene_idx")
+    found = {"anti_repeat": n >= 0, "video": n % 3 == 0, "cross_media": n % 3 == 1, "local": F.col("plan_id") % 5 > 0, "duplicates": F.col("plan_id") % 7 > 0}[step.name]
+    asset = F.concat(F.lit(step.name), F.lit("/"), ((i * 3 + step.number + step.offset) % 5).cast("string"))
+    kind = F.when(F.col("visual_mode") == "video", "video").otherwise("image")
+    return todo.filter(found).select(*SCENE, asset.alias("asset"), kind.alias("asset_kind"))
+
+
+@query
+def plans_finalized(v: Views) -> DataFrame:
+    """Scenes after the final passes, with what is still wrong with them."""
+    return finalize.finalize(half_resolved(v), spare).select(*SCENE, "strict", "asset", "asset_kind", "visual_mode", "source_mode", "problem")
+
+
+@query
+def plans_accepted(v: Views) -> DataFrame:
+    """Plans that the final check accepts or refuses."""
+    return finalize.verdicts(finalize.finalize(half_resolved(v), spare))
+
+
 @query
 def lexicon_table(v: Views) -> DataFrame:
     """A lexicon given as a table: frequent words of the benchmark texts as needles."""

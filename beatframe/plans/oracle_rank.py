@@ -419,3 +419,33 @@ from .oracle import SPANS  # noqa: E402
 
 sql("shot_rhythm", SPANS.replace("6000", "2850"), """, l AS (SELECT plan_id, asset_kind, CAST(hide_ms - show_ms AS BIGINT) AS d FROM spans)
 SELECT plan_id, count(*) AS shots, round(avg(d), 3) AS mean_ms, CAST(median(d) AS DOUBLE) AS median_ms, min(d) AS min_ms, max(d) AS max_ms, round(sum(CASE WHEN asset_kind = 'video' THEN d ELSE 0 END)::DOUBLE / sum(d)::DOUBLE, 6) AS video_share FROM l GROUP BY 1""")
+
+# --- final passes: every rung is one step of the same shape -----------------------------
+
+
+def _rung(name: str, before: str, asks: str, found: str, step: str, number: int, offset: int, again: bool = True) -> str:
+    """CTEs name_a (who asks), name_b (changed modes where queries are renewed) and name (what was found)."""
+    video = f"fx AND NOT lk AND {number} >= 1 AND sm IN ('generic_image', 'auto')" if again else "false"
+    image = f"fx AND NOT lk AND {number} >= 2 AND vm = 'video' AND sm = 'stock_video'" if again else "false"
+    return f"""{name}_a AS (SELECT *, coalesce({asks}, false) AS fx FROM (SELECT *, kind <> 'blank' AND scene_idx > min(CASE WHEN kind <> 'blank' THEN scene_idx END) OVER (PARTITION BY plan_id, lower(asset)) AS dup FROM {before})),
+{name}_b AS (SELECT plan_id, scene_idx, strict, af, lk, fx, asset, kind, CASE WHEN {video} THEN 'video' WHEN {image} THEN 'image' ELSE vm END AS vm, CASE WHEN {video} THEN 'stock_video' WHEN {image} THEN 'generic_image' ELSE sm END AS sm FROM {name}_a),
+{name} AS (SELECT plan_id, scene_idx, strict, af, lk, vm, sm, CASE WHEN NOT fx THEN asset WHEN {found} THEN '{step}/' || ((scene_idx * 3 + {number + offset}) % 5) END AS asset,
+  CASE WHEN NOT fx THEN kind WHEN {found} THEN CASE WHEN vm = 'video' THEN 'video' ELSE 'image' END ELSE 'blank' END AS kind FROM {name}_b)"""
+
+
+FINAL = DESC + f""", r0 AS (SELECT plan_id, scene_idx, plan_id % 2 = 0 AS strict, plan_id % 3 = 0 AS af, lk, vm, sm,
+  CASE WHEN plan_id % 2 = 0 AND scene_idx % 4 = 1 THEN NULL WHEN (plan_id + scene_idx) % 5 = 0 THEN 'Clip0' ELSE 'Clip' || scene_idx END AS asset,
+  CASE WHEN plan_id % 2 = 0 AND scene_idx % 4 = 1 THEN 'blank' WHEN vm = 'video' THEN 'video' ELSE 'image' END AS kind FROM described),
+{", ".join(_rung(f"r{i + 1}", f"r{i}", "dup AND NOT strict", "true", "anti_repeat", 3 + i, 4 + i) for i in range(3))},
+m AS (SELECT plan_id, scene_idx, strict, af, lk, asset, kind, CASE WHEN moved THEN 'video' ELSE vm END AS vm, CASE WHEN moved THEN 'stock_video' ELSE sm END AS sm FROM (
+  SELECT *, bool_or(strict AND af AND kind = 'blank') OVER (PARTITION BY plan_id) AND NOT (lk OR sm = 'historical_archive' OR (vm = 'meme' AND sm = 'meme_library')) AS moved FROM r3)),
+{_rung("r4", "m", "strict AND af AND kind = 'blank'", "(plan_id + scene_idx) % 3 = 0", "video", 0, 0, False)},
+{_rung("r5", "r4", "strict AND kind = 'blank'", "(plan_id + scene_idx) % 3 = 1", "cross_media", 2, 0)},
+{_rung("r6", "r5", "strict AND kind = 'blank'", "plan_id % 5 > 0", "local", 0, 0, False)},
+{_rung("r7", "r6", "dup AND strict", "plan_id % 7 > 0", "duplicates", 2, 0)},
+{_rung("r8", "r7", "dup AND strict", "plan_id % 7 > 0", "duplicates", 3, 0)},
+{_rung("r9", "r8", "dup", "true", "none", 0, 0, False)},
+final AS (SELECT plan_id, scene_idx, strict, asset, kind AS asset_kind, vm AS visual_mode, sm AS source_mode, CASE WHEN kind = 'blank' THEN 'unresolved' WHEN fx THEN 'duplicate' END AS problem FROM r9_b)"""
+sql("plans_finalized", FINAL, "SELECT * FROM final")
+sql("plans_accepted", FINAL, """SELECT plan_id, bool_or(strict) AS strict, count(*) AS scenes, count(*) FILTER (problem = 'unresolved') AS unresolved, count(*) FILTER (problem = 'duplicate') AS duplicates,
+  NOT bool_or(strict) OR count(problem) = 0 AS accepted FROM final GROUP BY 1""")

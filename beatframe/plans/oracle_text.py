@@ -58,7 +58,7 @@ sql("spoken_quantities", PLANTED, f"SELECT plan_id, scene_idx, {squash(f'regexp_
 fx = lambda c: f"regexp_extract_all(lower({c}), '[a-zа-яё0-9]+')"
 sql("caption_queries", PLANTED, f""", w AS (SELECT *, list_filter({WS.format('caption')}, lambda x: x <> '') AS ws FROM planted), s AS (SELECT *, array_to_string(list_slice(ws, 1, 3), ' ') AS st,
   array_to_string(list_slice(list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{M}}\\p{{N}}_-]+', '', 'g')), lambda x: length(x) >= 4), 1, 4), ' ') AS b FROM w)
-SELECT plan_id, scene_idx, coalesce(nullif(b, ''), 'human reaction') || CASE WHEN scene_idx % 2 = 0 THEN ' real footage' ELSE ' documentary image' END AS fallback, CASE WHEN length(st) BETWEEN 1 AND 22 THEN upper(st) ELSE '' END AS label,
+SELECT plan_id, scene_idx, coalesce(nullif(b, ''), 'human reaction') || CASE WHEN scene_idx % 2 = 0 THEN ' real footage' ELSE ' documentary image' END AS fallback, CASE WHEN length(st) BETWEEN 1 AND 22 THEN upper(replace(st, 'ß', 'ss')) ELSE '' END AS label,
   len({fx('st')}) > 0 AS spoken, list_contains({fx('caption')}, 'иисуса') AS name_spoken FROM s""")
 
 sql("anchor_starts", WORDS, f""", t AS (SELECT plan_id, turn, idx, start_ms, coalesce({fx('text')}[1], '') AS h, row_number() OVER (PARTITION BY plan_id, turn ORDER BY idx DESC) AS back, {fx('text')} AS all_t FROM words),
