@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,8 +94,9 @@ def set_key(features: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64) + np.uint64(len(features)))[0])
 
 
-ENTRIES = 3_000_000  # signatures of a part, on average
-FLUSH = 4_000_000  # signatures that a task holds before it hands them on
+ENTRIES = 2_000_000  # signatures of a part, on average
+FLUSH = 2_000_000  # signatures that a task holds before it hands them on
+STARS = 2  # times that unjoined sets are held against the centre of the largest component of each feature, before what is left meets in blocks
 BESIDE = 64  # sets that others are held against at a time
 _AGAINST = 2048  # sets held against those in one group, on average
 
@@ -141,19 +142,42 @@ def read_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _dealt(keys: list, tags: list, found: list, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _SENT: the signatures of sets, by part."""
+    sizes = np.array([len(f) for f in found])
+    of, sigs = np.repeat(np.arange(len(found), dtype=np.int32), sizes), np.concatenate(found)
+    keys, tags = np.array(keys, np.uint64), np.array(tags, np.int64)
+    for part, at in _groups((sigs % np.uint64(parts)).astype(np.int32), parts):
+        sets, counts = np.unique(of[at], return_counts=True)
+        arrays = _binary(keys=keys[sets], tags=tags[sets], counts=counts.astype(np.uint32), sigs=(sigs[at] // np.uint64(parts)).astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *arrays], names=["part", "keys", "tags", "counts", "sigs"])
+
+
+def send_features(sets: DataFrame, parts: int) -> DataFrame:
+    """The features of sets (set_key, features) themselves as signatures, dealt like those of send_signatures."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tags, found, held = [], [], [], 0
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                features = np.frombuffer(data.as_py(), "u8")
+                keys.append(key % (1 << 64))
+                tags.append(len(features) * _SLOTS)
+                found.append(mix(features))
+                held += len(features)
+                if held >= FLUSH:
+                    yield from _dealt(keys, tags, found, parts)
+                    keys, tags, found, held = [], [], [], 0
+        if found:
+            yield from _dealt(keys, tags, found, parts)
+
+    return sets.select("set_key", "features").mapInArrow(run, _SENT)
+
+
 def send_signatures(docs: DataFrame, text: str, n: int, bands: Bands, parts: int) -> DataFrame:
     """The signatures of every text, in `parts` parts by signature: a row holds those that one task found for one part, set by set
     (key; tag: size and slot; count; that many signatures without what the part tells), so a signature takes four bytes."""
 
-    def flush(keys: list, tags: list, found: list) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(f) for f in found])
-        of, sigs = np.repeat(np.arange(len(found)), sizes), np.concatenate(found)
-        keys, tags = np.array(keys, np.uint64), np.array(tags, np.int64)
-        for part, at in _groups((sigs % np.uint64(parts)).astype(np.int64), parts):
-            sets, counts = np.unique(of[at], return_counts=True)
-            arrays = _binary(keys=keys[sets], tags=tags[sets], counts=counts.astype(np.uint32), sigs=(sigs[at] // np.uint64(parts)).astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *arrays], names=["part", "keys", "tags", "counts", "sigs"])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tags, found, held, seen = [], [], [], 0, set()
         for batch in batches:
@@ -169,10 +193,10 @@ def send_signatures(docs: DataFrame, text: str, n: int, bands: Bands, parts: int
                     found.append(sigs)
                     held += len(sigs)
                 if held >= FLUSH:
-                    yield from flush(keys, tags, found)
+                    yield from _dealt(keys, tags, found, parts)
                     keys, tags, found, held, seen = [], [], [], 0, set()
         if found:
-            yield from flush(keys, tags, found)
+            yield from _dealt(keys, tags, found, parts)
 
     return docs.select(docs[text].alias("text")).mapInArrow(run, _SENT)
 
@@ -191,13 +215,16 @@ def count_holders(sent: DataFrame, parts: int) -> DataFrame:
         keys, tags = _whole(table.column("keys"), "u8"), _whole(table.column("tags"), "i8")
         counts, sigs = _whole(table.column("counts"), "u4"), _whole(table.column("sigs"), "u4")
         first, which = _merged(keys, tags)
-        of = np.repeat(which, counts)
-        order = np.lexsort((of, sigs))
-        of, sigs = of[order], sigs[order]
-        once = np.append(True, (of[1:] != of[:-1]) | (sigs[1:] != sigs[:-1]))[: len(of)]
-        of, sigs = of[once], sigs[once]
-        begins = np.append(True, sigs[1:] != sigs[:-1])[: len(of)]
-        holders = np.bincount(np.cumsum(begins) - 1)[np.cumsum(begins) - 1] if len(of) else np.zeros(0, np.int64)
+        both = sigs.astype(np.uint64) << np.uint64(32)  # signature and set in one number, sorted in place
+        both |= np.repeat(which.astype(np.uint32), counts)
+        del sigs, which, counts
+        both.sort()
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+        sigs, of = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+        del both
+        starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])[: len(sigs)])
+        lengths = np.diff(np.append(starts, len(sigs))).astype(np.uint32)
+        holders = np.repeat(lengths, lengths)
         alone = np.bincount(of[holders == 1], minlength=len(first)).astype(np.uint32)
         shared = np.flatnonzero(holders > 1)
         shared = shared[np.argsort(of[shared], kind="stable")]
@@ -205,7 +232,7 @@ def count_holders(sent: DataFrame, parts: int) -> DataFrame:
         starts = np.cumsum(number) - number
         keys, tags = keys[first], tags[first]
         whole = sigs[shared].astype(np.uint64) * np.uint64(parts) + np.uint64(part)
-        holders = holders[shared].astype(np.uint32)
+        holders = holders[shared]
         rows = []
         for to, sets in _groups((keys % np.uint64(parts)).astype(np.int64), parts):
             run_of, place = _runs(number[sets])
@@ -217,9 +244,9 @@ def count_holders(sent: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(run, _BACK)
 
 
-def rarest(back: DataFrame, bands: Bands) -> DataFrame:
+def rarest(back: DataFrame, bands: Bands, features: bool = False) -> DataFrame:
     """(sig, set_key, n, alone): for each set that can still have a partner, its signatures with the fewest holders, one more
-    than the features in which it and a partner can differ. Signatures that no other set has count among those, so a set
+    than the features in which it and a partner can differ; where the signatures are single features, one more than those that a partner can lack. Signatures that no other set has count among those, so a set
     with more of them than that has no partner, and two linked sets have one of the rest in common: the first that they share
     in the order by holders has, in either set, only such before it that the other lacks."""
 
@@ -230,7 +257,8 @@ def rarest(back: DataFrame, bands: Bands) -> DataFrame:
         of = np.repeat(which, _whole(table.column("counts"), "u4"))
         sigs, holders = _whole(table.column("sigs"), "u8"), _whole(table.column("holders"), "u4")
         keys, n = keys[first], tags[first] // _SLOTS
-        need = (n + n * bands.den // bands.num) * (bands.den - bands.num) // (bands.den + bands.num) + 1 - alone
+        differ = n * (bands.den - bands.num) // bands.den if features else (n + n * bands.den // bands.num) * (bands.den - bands.num) // (bands.den + bands.num)
+        need = differ + 1 - alone
         at = np.flatnonzero(need[of] > 0)
         at = at[np.lexsort((sigs[at], holders[at], of[at]))]
         _, place = _runs(np.bincount(of[at], minlength=len(first)))
@@ -241,27 +269,36 @@ def rarest(back: DataFrame, bands: Bands) -> DataFrame:
     return back.groupBy("part").applyInArrow(run, "sig long, set_key long, n long, alone long")
 
 
-def blocks_beside(rows: DataFrame) -> DataFrame:
-    """(beside, set_key): for each pair in a signature's row group that no link joins yet, that one is to be held against the block of
-    the other. rows: part, sig, set_key, component, beside (the block of a set). In each group of parts a pair of set and block
-    comes once, however many signatures name it; the largest component of a signature needs no blocks."""
+def blocks_beside(rows: DataFrame, bands: Bands) -> DataFrame:
+    """(beside, set_key): for each pair in a signature's row group that no link joins yet and that can be linked, that one is to be held against
+    the block of the other. rows: part, sig, set_key, n, alone, component, beside (the block of a set, null in the largest component of a
+    neighbourhood). In each group of parts a pair of set and block comes once, however many signatures name it.
+
+    The signatures are single features: a set of n features has at most (den n - num m) / (den + num) that a linked one of m lacks, so it has no
+    more than that for itself alone. Of two sets with blocks the later one, by size, is held against the block of the other."""
+    num, den = bands.num, bands.den
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sig", "ascending"), ("component", "ascending")])
-        sig, key, component, beside = (table.column(c).to_numpy() for c in ("sig", "set_key", "component", "beside"))
+        table = table.sort_by([("sig", "ascending"), ("n", "ascending"), ("set_key", "ascending")])
+        sig, key, n, alone, component = (table.column(c).to_numpy() for c in ("sig", "set_key", "n", "alone", "component"))
+        placed = table.column("beside").is_valid().to_numpy(zero_copy_only=False)
+        beside = table.column("beside").fill_null(0).to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)]), len(sig))
+        spare = den * n - (den + num) * alone  # num times the size of a partner must not exceed this
         out: set[tuple[int, int]] = set()
         for a, b in itertools.pairwise(starts):
-            kinds, sizes = np.unique(component[a:b], return_counts=True)
-            if len(kinds) < 2:
+            own = np.flatnonzero(placed[a:b]) + a
+            if not len(own) or (component[a:b] == component[a]).all():
                 continue
-            most = kinds[np.argmax(sizes)]
-            others = component[a:b] != most
-            for block in np.unique(beside[a:b][others]):
-                own = component[a:b][(beside[a:b] == block) & others]
-                one = own[0] if (own == own[0]).all() else None
-                keys = key[a:b] if one is None else key[a:b][component[a:b] != one]
-                out.update(zip(itertools.repeat(int(block)), keys.tolist(), strict=False))
+            order = own[np.argsort(beside[own], kind="stable")]
+            edges = np.flatnonzero(np.append(True, beside[order][1:] != beside[order][:-1]))
+            for u in np.split(order, edges[1:]):
+                near = (den * n[a:b] >= num * n[u].min()) & (num * n[a:b] <= den * n[u].max())
+                near &= (num * n[u].min() <= spare[a:b]) & (num * n[a:b] <= spare[u].max())
+                near &= ~placed[a:b] | (np.arange(a, b) > u.min())
+                if (component[u] == component[u[0]]).all():
+                    near &= component[a:b] != component[u[0]]
+                out.update(zip(itertools.repeat(int(beside[u[0]])), key[a:b][near].tolist(), strict=False))
         found = np.array(sorted(out), np.int64).reshape(-1, 2)
         return pa.table({"beside": found[:, 0], "set_key": found[:, 1]})
 
@@ -302,6 +339,20 @@ def held_against(blocks: DataFrame, against: DataFrame, sets: DataFrame, bands:
     return own.union(other).groupBy("beside", "share").applyInArrow(run, "a long, b long")
 
 
+def standing(near: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_key, near, component, apart) of the sets of neighbourhoods that links have not made one component: apart from its largest or not."""
+    joined = components(links).select(F.col("node").alias("set_key"), "component")
+    placed = near.join(joined, "set_key", "left").select("set_key", "near", F.coalesce("component", "set_key").alias("component"))
+    kinds = placed.groupBy("near", "component").agg(F.count("*").alias("n"))
+    unsettled = kinds.groupBy("near").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("most")).where("kinds > 1")
+    return cut(placed.join(unsettled, "near").select("set_key", "near", "component", (F.col("component") != F.col("most")).alias("apart")))
+
+
+def step_of(n: Column) -> Column:
+    """Sizes within a factor of about 1.05 share a step."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
+
+
 def features_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(set_key, features) of wanted sets (set_key, rep: a document that has it)."""
     rows = docs.select(docs[key].alias("rep"), docs[text].alias("text")).join(wanted, "rep").select("set_key", "text")
@@ -333,8 +384,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     Equal sets meet by a 64-bit name. Signatures are exchanged in parts of bounded size, four bytes each; most sets turn out to have more
     unshared signatures than a partner allows and go no further. The others are first linked with the most central set of each
-    signature they share; only pairs that share a signature and that no chain of links joins yet are held against each other after
-    that, in blocks, so copies are never expanded into pairs, and no link between different components is missed."""
+    signature they share. Where that leaves several components among sets that share signatures, their single features are the signatures
+    of a second look: again with central sets first, then only pairs that no chain of links joins and whose sizes and unshared features allow
+    a link are held against each other, in blocks; so copies are never expanded into pairs, and no link between different components is missed."""
     bands = Bands(num, den)
     named = cut(read_sets(docs, key, text, words))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
@@ -349,17 +401,31 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     blocks = max(1, -(-pairs.select("b").distinct().count() // BESIDE))
     beside = F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("beside")
     links = cut(held_against(pairs.select(beside, F.col("b").alias("set_key")), pairs.where("a <> b").select(beside, F.col("a").alias("set_key")), features, bands))
-    joined = components(links)
-    # what shares a signature, linked or not, is near: the blocks of a second look are cut from such neighbourhoods
-    near = components(pairs).select(F.col("node").alias("set_key"), F.col("component").alias("near"))
-    placed = near.join(joined.select(F.col("node").alias("set_key"), "component"), "set_key", "left").select("set_key", "near", F.coalesce("component", "set_key").alias("component"))
-    sizes = placed.groupBy("near").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    placed = cut(placed.join(sizes, "near").select("set_key", "component", F.xxhash64("near", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / BESIDE))).alias("beside")))
-    open_rows = found.select("sig", "set_key").join(placed, "set_key")
+    # what shares a signature, linked or not, is near; the second look goes over neighbourhoods that are not one component, by single features
+    near = cut(components(pairs).select(F.col("node").alias("set_key"), F.col("component").alias("near")))
+    placed = standing(near, links)
+    unsettled = cut(placed.join(features, "set_key").select("set_key", "features"))
+    total = unsettled.agg(F.sum(F.length("features"))).first()[0] or 0
+    parts = max(1, -(-total // 8 // ENTRIES))
+    found = cut(rarest(count_holders(send_features(unsettled, parts), parts), bands, features=True))
+    signed = found.join(placed, "set_key")
+    for _ in range(STARS):
+        kinds = signed.groupBy("sig", "component").agg(F.count("*").alias("count"), F.min(F.struct("alone", "set_key")).alias("center"))
+        largest = kinds.groupBy("sig").agg(F.max(F.struct("count", "component", "center")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+        stars = signed.join(largest, "sig").where("component <> most.component").select(F.col("most.center.set_key").alias("b"), F.col("set_key").alias("a"))
+        stars = cut(stars.distinct())
+        links = cut(links.union(held_against(stars.select(beside, F.col("b").alias("set_key")), stars.select(beside, F.col("a").alias("set_key")), unsettled, bands)))
+        placed = standing(near, links)
+        signed = found.join(placed, "set_key")
+    # what is not in the largest component of its neighbourhood gets a block, among sets of about its size
+    apart = cut(signed.where("apart").groupBy("set_key", "near").agg(step_of(F.min("n")).alias("step")))
+    several = apart.groupBy("near", "step").agg(F.count("*").alias("count"))
+    dealt = cut(apart.join(several, ["near", "step"]).select("set_key", F.xxhash64("near", "step", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("count") / BESIDE))).alias("beside")))
     groups = max(1, -(-found.count() // 1_000_000))
-    against = cut(blocks_beside(open_rows.select(F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("int").alias("part"), "sig", "set_key", "component", "beside")).distinct())
-    more = held_against(placed.select("beside", "set_key"), against, features, bands)
-    links = links.union(more)
+    part = F.pmod(F.xxhash64("sig"), F.lit(groups)).cast("int").alias("part")
+    rows = signed.join(dealt, "set_key", "left").select(part, "sig", "set_key", "n", "alone", "component", "beside")
+    against = cut(blocks_beside(rows, bands).distinct())
+    links = links.union(held_against(dealt.select("beside", "set_key"), against, unsettled, bands))
     final = components(links).withColumnRenamed("node", "set_key")
     whole = sets.join(final, "set_key", "left").select("set_key", "rep", F.coalesce("component", "set_key").alias("component"))
     least = cut(whole.groupBy("component").agg(F.min("rep").alias("component_id")))

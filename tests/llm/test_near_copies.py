@@ -191,3 +191,41 @@ def smallest_of(near):
                         label[k] = i
                         open_at.append(k)
     return label
+
+
+def test_the_second_look_does_not_grow_with_the_square(spark, monkeypatch):
+    """One-line texts with 1 to 3 changed words of 60: sets held against blocks, as the texts double."""
+    seen = []
+    held = jaccard.held_against
+
+    def counting(blocks, against, sets, bands):
+        seen[-1].append(against.distinct().count())
+        return held(blocks, against, sets, bands)
+
+    monkeypatch.setattr(jaccard, "held_against", counting)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(60)]
+    texts = []
+    for _ in range(600):
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(60)] = word()
+        texts.append(" ".join(copy))
+    for size in (300, 600):
+        seen.append([])
+        got = jaccard.link(spark.createDataFrame(list(enumerate(texts[:size])), "doc_id long, text string"))
+        labels = {r.doc_id: r.component_id for r in got.collect()}
+        if size == 300:
+            sets = {i: plain_set(x) for i, x in enumerate(texts[:size])}
+            links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+            label = list(range(size))
+            for _ in range(size):
+                before = list(label)
+                for a, b in links:
+                    label[a] = label[b] = min(label[a], label[b])
+                if label == before:
+                    break
+            assert labels == dict(enumerate(label))
+    totals = [sum(x) for x in seen]
+    assert totals[1] <= 2.6 * totals[0], seen
