@@ -13,7 +13,7 @@ from .catalog import CUES, SCENE, joined, planted, query
 from .catalog_text import gray
 from . import finalize
 from .repair import repair_loop
-from .resolve import resolve
+from .resolve import manifest, resolve, resolve_run
 from .storyboard import storyboard
 from ..functions import classify as C, media as M
 
@@ -558,6 +558,26 @@ def scenes_resolved(v: Views) -> DataFrame:
     return resolve(s, {"exact": pool}, guards(v)).select(*SCENE, "status", "level", "cand_id")
 
 
+def in_run(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scenes of plans of eight, their candidates, and their choices in order."""
+    s, c = rolls(v)
+    c = checkpoint(c)
+    return s, c, checkpoint(resolve_run(checkpoint(s), {"exact": c}, guards(v)))
+
+
+@query
+def run_resolved(v: Views) -> DataFrame:
+    """Choices of plans of eight scenes in order, titles chosen in the run counting as used."""
+    return in_run(v)[2].select(*SCENE, "status", "level", "cand_id", F.round("combined", 4).alias("combined"))
+
+
+@query
+def run_manifest(v: Views) -> DataFrame:
+    """Manifest rows of the same choices, scenes without one covered from near scenes."""
+    s, c, result = in_run(v)
+    return manifest(s, result, c).select(*SCENE, "status", "path", "source", "kind", "recovery_used", "fallback_from_scene")
+
+
 @query
 def plans_repaired(v: Views) -> DataFrame:
     """Shots with repeated assets replaced pass by pass from a list of spare files."""
@@ -590,7 +610,7 @@ def spare(todo: DataFrame, step: finalize.Step) -> DataFrame:
     """What a search of the final passes finds: less on the early rungs, and spare files that may repeat."""
     i, n = F.col("scene_idx"), F.col("plan_id") + F.col("scene_idx")
     found = {"anti_repeat": n >= 0, "video": n % 3 == 0, "cross_media": n % 3 == 1, "local": F.col("plan_id") % 5 > 0, "duplicates": F.col("plan_id") % 7 > 0}[step.name]
-    asset = F.concat(F.lit(step.name), F.lit("/"), ((i * 3 + step.number + step.offset) % 5).cast("string"))
+    asset = F.concat(F.lit(step.name), F.lit("/"), ((i * 3 + step.number + step.offset) % 2).cast("string"))
     kind = F.when(F.col("visual_mode") == "video", "video").otherwise("image")
     return todo.filter(found).select(*SCENE, asset.alias("asset"), kind.alias("asset_kind"))
 

@@ -429,7 +429,7 @@ def _rung(name: str, before: str, asks: str, found: str, step: str, number: int,
     image = f"fx AND NOT lk AND {number} >= 2 AND vm = 'video' AND sm = 'stock_video'" if again else "false"
     return f"""{name}_a AS (SELECT *, coalesce({asks}, false) AS fx FROM (SELECT *, kind <> 'blank' AND scene_idx > min(CASE WHEN kind <> 'blank' THEN scene_idx END) OVER (PARTITION BY plan_id, lower(asset)) AS dup FROM {before})),
 {name}_b AS (SELECT plan_id, scene_idx, strict, af, lk, fx, asset, kind, CASE WHEN {video} THEN 'video' WHEN {image} THEN 'image' ELSE vm END AS vm, CASE WHEN {video} THEN 'stock_video' WHEN {image} THEN 'generic_image' ELSE sm END AS sm FROM {name}_a),
-{name} AS (SELECT plan_id, scene_idx, strict, af, lk, vm, sm, CASE WHEN NOT fx THEN asset WHEN {found} THEN '{step}/' || ((scene_idx * 3 + {number + offset}) % 5) END AS asset,
+{name} AS (SELECT plan_id, scene_idx, strict, af, lk, vm, sm, CASE WHEN NOT fx THEN asset WHEN {found} THEN '{step}/' || ((scene_idx * 3 + {number + offset}) % 2) END AS asset,
   CASE WHEN NOT fx THEN kind WHEN {found} THEN CASE WHEN vm = 'video' THEN 'video' ELSE 'image' END ELSE 'blank' END AS kind FROM {name}_b)"""
 
 
@@ -449,3 +449,23 @@ final AS (SELECT plan_id, scene_idx, strict, asset, kind AS asset_kind, vm AS vi
 sql("plans_finalized", FINAL, "SELECT * FROM final")
 sql("plans_accepted", FINAL, """SELECT plan_id, bool_or(strict) AS strict, count(*) AS scenes, count(*) FILTER (problem = 'unresolved') AS unresolved, count(*) FILTER (problem = 'duplicate') AS duplicates,
   NOT bool_or(strict) OR count(problem) = 0 AS accepted FROM final GROUP BY 1""")
+
+
+# --- choices in order: scene after scene, with what was taken before ---------------------
+
+_SAME = "len(list_intersect(x.k, y.k))::DOUBLE / greatest(1, len(x.k) + len(y.k) - len(list_intersect(x.k, y.k)))"
+IN_RUN = FOUND + "," + ranked("pool", False).split(",\npool_b AS")[0] + "," + GUARDS + "," + selected("pool_a", "x", 5).split(",\nx_s AS")[0] + f""",
+opts AS (SELECT plan_id, list({{'c': cand_id, 'sc': score, 'q': query_idx, 'p': pos, 'v': kind = 'video', 'k': {toks('title')}, 't': lower(trim(title)), 'o': out_r IS NULL, 'g': gs}}) AS l FROM x_o GROUP BY 1),
+run(p, i, held, titles, pick, checks) AS (SELECT p, -1, [-1::BIGINT], [{{'t': '', 'k': ['']}}], NULL::STRUCT(s DOUBLE, n BIGINT, c BIGINT, t VARCHAR, k VARCHAR[]), 0::BIGINT FROM (SELECT plan_id // 8 AS p FROM asking GROUP BY 1)
+UNION ALL SELECT p, i + 1, CASE WHEN pick IS NULL THEN held ELSE list_append(held, pick.c) END,
+  CASE WHEN pick IS NULL OR pick.t = '' OR len(list_filter(titles, lambda y: y.t = pick.t)) > 0 THEN titles ELSE list_append(titles, {{'t': pick.t, 'k': pick.k}}) END, pick, checks
+FROM (SELECT p, i, held, titles, len(five) AS checks, list_sort(list_transform(five, lambda x, n: {{'s': -round(x.m + x.g * 0.035::DOUBLE, 9), 'n': n, 'c': x.c, 't': x.t, 'k': x.k}}))[1] AS pick
+FROM (SELECT p, i, held, titles, list_sort(list_transform(list_filter(live, lambda x: x.o AND (x.v OR NOT (stock AND len(list_filter(live, lambda y: y.v)) > 0))),
+  lambda x: {{'a': -x.m, 'q': x.q, 'p': x.p, 'm': x.m, 'c': x.c, 'g': x.g, 't': x.t, 'k': x.k}}))[1:5] AS five
+FROM (SELECT p, i, held, titles, stock, list_transform(list_filter(judged, lambda x: lk OR x.s < 0.86), lambda x: {{'m': round(x.sc - 24.0::DOUBLE * x.s, 9), 'q': x.q, 'p': x.p, 'v': x.v, 'o': x.o, 'g': x.g, 'c': x.c, 't': x.t, 'k': x.k}}) AS live
+FROM (SELECT r.p, r.i, r.held, r.titles, a.lk, a.vm = 'video' AND a.sm = 'stock_video' AS stock, list_transform(list_filter(coalesce(o.l, []), lambda x: NOT list_contains(r.held, x.c)),
+  lambda x: {{'s': coalesce(list_max(list_transform(r.titles[-4:], lambda y: CASE WHEN y.t = '' OR len(x.k) = 0 OR len(y.k) = 0 THEN 0 ELSE {_SAME} END)), 0), 'sc': x.sc, 'q': x.q, 'p': x.p, 'v': x.v, 'o': x.o, 'g': x.g, 'c': x.c, 't': x.t, 'k': x.k}}) AS judged
+FROM run r JOIN asking a ON r.i < 7 AND a.plan_id = r.p * 8 + r.i + 1 LEFT JOIN opts o ON o.plan_id = a.plan_id))))),
+told AS (SELECT r.p AS plan_id, r.i AS scene_idx, a.lk, r.pick.c AS cand_id, -r.pick.s AS combined FROM run r JOIN asking a ON a.plan_id = r.p * 8 + r.i WHERE r.i >= 0)"""
+sql("run_resolved", IN_RUN, """SELECT plan_id, CAST(scene_idx AS INT) AS scene_idx, CASE WHEN cand_id IS NOT NULL THEN 'downloaded' WHEN lk THEN 'not_found_locked' ELSE 'not_found_recovery' END AS status,
+  CASE WHEN cand_id IS NOT NULL THEN 'exact' END AS level, cand_id, round(combined, 4) AS combined FROM told""")
