@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import itertools
 import re
@@ -89,6 +90,7 @@ class Scanner:
                 raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.entries.append((name, words, frozenset(words), zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False)))
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+        self.width = max((_width(own) for _, own, _, _ in self.entries), default=0)
         self.known: dict[str, list[tuple]] = {}
 
     def block(self, text: str) -> list[tuple]:
@@ -109,10 +111,12 @@ class Scanner:
                 first, last = blocks[0].b, blocks[-1].b + blocks[-1].size - 1
                 found.append((name, spans[first][1], spans[last][2], round(float(reduction), 6), len(kept) / len(own), missing, not missing and last - first + 1 == len(own)))
         out: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[6], -f[4], -(f[2] - f[1]), f[0])):  # of overlapping ones the closest wording stays
-            if all(f[2] <= o[1] or f[1] >= o[2] for o in out):
-                out.append(f)
-        out.sort(key=lambda f: (f[1], f[0]))
+        begins: list[int] = []
+        for f in sorted(found, key=lambda f: (-f[6], -f[4], -(f[2] - f[1]), f[0], f[1])):  # of overlapping ones the closest wording stays
+            k = bisect.bisect_left(begins, f[2])  # those kept from here on begin behind it
+            if not k or out[k - 1][2] <= f[1]:
+                begins.insert(k, f[1])
+                out.insert(k, f)
         if len(self.known) > 50_000:
             self.known.clear()
         if len(text) < 2000:
@@ -120,28 +124,42 @@ class Scanner:
         return out
 
     def scan(self, text: str) -> Iterator[Found]:
-        """Blocks are lines, joined with the next ones as long as these hold cues too or the license goes on; places are of the whole text."""
-        for cue in _candidates(text):
+        """Blocks reach from cue to cue and by the longest template beyond; places are of the whole text."""
+        for cue in _candidates(text, self.width):
             for name, a, b, reduction, matched, missing, exact in self.block(text[cue[0] : cue[1]]):
                 yield Found(name, cue[0] + a, cue[0] + b, reduction, matched, missing, exact)
 
 
+def _width(own: tuple[str, ...]) -> int:
+    """Words over which a template may spread."""
+    return int(1.5 * len(own) + 4)
+
+
 def _alignments(own: tuple[str, ...], words: list[str]) -> Iterator[list[difflib.Match]]:
-    """Every place of a template among words that do not overlap: the matching runs around the longest one, and again on the words
-    before and after. Nine tenths of the template are there, close together, and no word is missing that tells licenses apart."""
-    need, width = LEAST_WORDS * len(own), int(1.5 * len(own) + 4)
+    """Every place of a template among words: the matching runs around the longest one, and again on the words before and after. Nine tenths
+    of the template are there, close together, and no word is missing that tells licenses apart. Long ranges are looked at in windows that overlap
+    by what a template may spread over, so time is proportional to the words; a place in two windows may come twice."""
+    need, width = LEAST_WORDS * len(own), _width(own)
     mine = set(own)
     held = [0, *itertools.accumulate(w in mine for w in words)]
-    open_at: list[list[int]] = []  # ranges whose words could be enough
+    ranges: list[list[int]] = []  # whose words could be enough
     for s, word in enumerate(words):
         if word in mine and held[min(s + width, len(words))] - held[s] >= need:
-            if open_at and s <= open_at[-1][1]:
-                open_at[-1][1] = min(s + width, len(words))
+            if ranges and s <= ranges[-1][1]:
+                ranges[-1][1] = min(s + width, len(words))
             else:
-                open_at.append([s, min(s + width, len(words))])
-    if not open_at:
-        return
+                ranges.append([s, min(s + width, len(words))])
+    windows = [(at, min(high, at + 3 * width)) for low, high in ranges for at in range(low, max(low + 1, high - width), 2 * width)]
+    for low, high in windows:
+        for blocks in _placed(own, words[low:high], need, width):
+            yield [difflib.Match(b.a, low + b.b, b.size) for b in blocks]
+
+
+def _placed(own: tuple[str, ...], words: list[str], need: float, width: int) -> Iterator[list[difflib.Match]]:
+    mine = set(own)
+    held = [0, *itertools.accumulate(w in mine for w in words)]
     match = difflib.SequenceMatcher(None, own, words, autojunk=False)
+    open_at = [(0, len(words))]
     while open_at:
         low, high = open_at.pop()
         if held[high] - held[low] < need:
@@ -152,10 +170,10 @@ def _alignments(own: tuple[str, ...], words: list[str]) -> Iterator[list[difflib
         blocks = [difflib.Match(b.a, start + b.b, b.size) for b in near if b.size]
         kept = {i for b in blocks for i in range(b.a, b.a + b.size)}
         first, last = anchor.b, anchor.b + anchor.size
-        if len(kept) >= need and blocks[-1].b + blocks[-1].size - blocks[0].b <= 1.5 * len(own) + 4 and not any(_names(w) for i, w in enumerate(own) if i not in kept):
+        if len(kept) >= need and blocks[-1].b + blocks[-1].size - blocks[0].b <= width and not any(_names(w) for i, w in enumerate(own) if i not in kept):
             first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
             yield blocks
-        open_at += [[low, first], [last, high]]
+        open_at += [(low, first), (last, high)]
 
 
 def _names(word: str) -> bool:
@@ -163,27 +181,25 @@ def _names(word: str) -> bool:
     return bool(re.search(r"\d", word)) or word in {"affero", "lesser", "apache", "mit", "mozilla", "noncommercial", "sharealike", "by-nc", "by-sa", "by", "neither", "cc0", "not"}
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive lines in which cues stand; a range ends at an empty line or after two lines without cues."""
+def _candidates(text: str, width: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the text from `width` words before a cue to as many behind it, those that overlap as one: whatever the lines, a notice with a cue lies in one."""
     small = text.lower()
     if not any(part in small for part in _PARTS):  # one of these is in every cue
         return
-    open_at, end, idle = -1, 0, 0
-    at = 0
-    for line in text.split("\n"):
-        stop = at + len(line)
-        if CUES.search(line):
-            if open_at < 0:
-                open_at = at
-            end, idle = stop, 0
-        elif open_at >= 0:
-            idle += 1
-            if idle > 2 or not line.strip():
-                yield open_at, end
-                open_at = -1
-        at = stop + 1
-    if open_at >= 0:
-        yield open_at, end
+    cues = [m.start() for m in CUES.finditer(text)]
+    if not cues:
+        return
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in spans]
+    low = high = -1
+    for cue in cues:
+        at = bisect.bisect_right(starts, cue) - 1
+        if high < 0 or at - width > high:
+            if high >= 0:
+                yield spans[low][0], spans[high][1]
+            low = max(0, at - width)
+        high = min(len(spans) - 1, at + width)
+    yield spans[low][0], spans[high][1]
 
 
 _SCANNERS: dict[int, Scanner] = {}
@@ -193,7 +209,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     """One row per license found in a whole text: key, license, start and end (characters), reduction (share of the compressed size that the
     template saves), matched (share of its words that are there in order), missing (array<string>: its words that are not) and exact.
 
-    Candidate blocks are runs of lines with a cue. Each is compressed with every template that shares half of its words as raw
+    Candidate blocks are the words around cues, as far as the longest template reaches. Each is compressed with every template that shares half of its words as raw
     dictionary, and each of these is confirmed by the differences in wording, wherever and however often it stands: nine tenths of the
     words in order and close together, and none missing that tells licenses apart. Of overlapping findings the closest wording stays, ties by name. Null
     and empty texts have no rows; null keys stay; each of repeated rows is scanned; an empty table gives an empty one; other columns are left out."""

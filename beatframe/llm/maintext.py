@@ -36,7 +36,12 @@ _TOKENS = (
     ("share", "social", "follow", "like"), ("related", "recommend", "more", "teaser", "popular", "trending", "links"), ("form", "login", "search", "subscribe", "newsletter", "signup", "contact"), ("meta", "byline", "author", "date", "tag", "categor"),
 )
 _EXACT = frozenset({"ad", "ads", "side", "head", "foot", "like", "more", "tag", "text", "body", "main", "post", "nav", "date", "form", "links"})
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_TO_QUOTE = re.compile(r"[>\"']")
+#: Elements that may stand in a head, and those that end a picture drawn in markup.
+_IN_HEAD = frozenset({"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template", "head"})
+_BREAKS_OUT = frozenset({"blockquote", "body", "center", "dd", "div", "dl", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "menu", "ol", "p", "pre", "ruby", "table", "ul"})
+_CELLS, _TABLE_PARTS = ("td", "th", "table"), frozenset({"table", "tr", "tbody", "thead", "tfoot", "body", "html"})
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _NOT_CAPITAL = bytes(i for i in range(256) if not chr(i).isupper())
@@ -56,16 +61,103 @@ _KNOWN: dict[str, tuple[int, ...]] = {}
 def token_groups(attributes: str) -> set[int]:
     out: set[int] = set()
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = (a or b or c)[:400]
-        if value not in _KNOWN:
-            if len(_KNOWN) > 20_000:
-                _KNOWN.clear()
-            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-            _KNOWN[value] = tuple(sorted({g for token in _SPLIT.split(spaced) if token for g in _group(token)}))
-        out.update(_KNOWN[value])
+        value = a or b or c
+        if value in _KNOWN:
+            out.update(_KNOWN[value])
+            continue
+        spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
+        found = tuple(sorted({g for token in _SPLIT.split(spaced) if token for g in _group(token)}))
+        if len(_KNOWN) > 20_000:
+            _KNOWN.clear()
+        if len(value) <= 400:
+            _KNOWN[value] = found
+        out.update(found)
     return out
 
 
+class Marks:
+    """The marks of a page in order. Nothing is searched for twice in vain: what stands nowhere behind one place stands nowhere behind a later one."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.missing, self.quotes = source, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        place = self.source.find(what, at)
+        if place < 0:
+            self.missing.add(what)
+        return place
+
+    def tag_end(self, at: int) -> int:
+        """Behind the `>` that ends a tag, quoted ones left out; once a quote is found that nothing closes, tags end at their first `>`."""
+        first = self.find(">", at)
+        if first < 0:
+            return -1
+        while self.quotes:
+            m = _TO_QUOTE.search(self.source, at)
+            if m and m[0] == ">":
+                return m.end()
+            at = self.find(m[0], m.end()) + 1 if m else 0
+            self.quotes = at > 0
+        return first + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """(start, end, kind, name, attributes) of the next mark from a place on; kind: open, close, data or other; end: no mark is left."""
+        source = self.source
+        while (start := self.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, len(source) if end < 0 else end + 3, "other", "", ""
+            if source.startswith("<![CDATA[", start) and (end := self.find("]]>", start + 9)) >= 0:
+                return start, end + 3, "data", "", ""
+            m = _NAME.match(source, start)
+            if (m or source[start + 1 : start + 2] in ("!", "?")) and (end := self.tag_end(m.end()) if m else self.find(">", start) + 1) > 0:
+                if not m:
+                    return start, end, "other", "", ""
+                return start, end, "close" if source[start + 1] == "/" else "open", m[1].lower(), source[m.end() : end - 1]
+            at = start + 1
+        return len(source), len(source), "end", "", ""
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Behind the closing tag of an element whose content is no markup; the end of the page if there is none."""
+        if f"</{name}" in self.missing:
+            return len(self.source)
+        m = re.compile(rf"</{name}\s*>", re.I).search(self.source, at)
+        if m is None:
+            self.missing.add(f"</{name}")
+        return m.end() if m else len(self.source)
+
+
+class Open:
+    """The open elements of a page, each kind found without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, str]] = [(0, "root")]
+        self.places: dict[str, list[int]] = {"root": [0]}
+
+    def push(self, node: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((node, name))
+
+    def pop(self) -> None:
+        _, name = self.stack.pop()
+        self.places[name].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names, -1 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, name: str) -> bool:
+        """End the innermost element of a name and what is open in it; cells and tables hold back others."""
+        own = self.last((name,))
+        if own < 1 or name not in _TABLE_PARTS and self.last(_CELLS) > own:
+            return False
+        while len(self.stack) > own:
+            self.pop()
+        return True
+
+
 class Page:
     """The elements of a page that are not inline, with what their own lines and everything below them hold."""
 
@@ -74,48 +166,58 @@ class Page:
         self.pieces: list[tuple[int, str]] = []  # text in page order, each with the element it stands in
         self.linked: list[bool] = []
         self.marks = [0]  # inline elements and controls of an element
-        stack = [(0, "root")]
-        links, at, hidden = 0, 0, ""
-        for m in _TOKEN.finditer(source):
-            if m.start() > at and not hidden:
-                self._text(stack[-1][0], source[at : m.start()], links)
-            if m.start() < at:
-                continue
-            at = m.end()
-            if m.group(0).startswith("<![CDATA[") and not hidden:
-                self._text(stack[-1][0], m.group(0)[9:-3], links)
-                continue
-            name = (m.group(2) or "").lower()
-            if not name:
+        marks, opened = Marks(source), Open()
+        stack = opened.stack
+        links, at = 0, 0
+        hidden, inner = "", {}  # a hidden element, and how many of each name are open in it
+        while True:
+            start, end, kind, name, attributes = marks.next(at)
+            if start > at:
+                if hidden == "head" and not source[at:start].isspace():  # text cannot stand in a head
+                    hidden = ""
+                if not hidden:
+                    self._text(stack[-1][0], source[at:start], links)
+            at = end
+            if kind == "end":
+                break
+            if kind == "data" and not hidden:
+                self._text(stack[-1][0], source[start + 9 : end - 3], links)
+            if kind in ("data", "other"):
                 continue
-            if hidden:
-                if m.group(1) and name == hidden or name == "body" and hidden == "head":
+            if hidden and kind == "open":
+                if hidden == "head" and name not in _IN_HEAD or hidden in ("svg", "math") and name in _BREAKS_OUT:
                     hidden = ""
-                    if name != "body":
-                        continue
                 else:
+                    if name in _RAW and not attributes.endswith("/"):
+                        at = marks.raw_end(name, at)
+                    elif name not in _VOID and not attributes.endswith("/"):
+                        inner[name] = inner.get(name, 0) + 1
                     continue
-            if m.group(1):
+            elif hidden:
+                if inner.get(name):
+                    inner[name] -= 1
+                    continue
+                if name == hidden:
+                    hidden = ""
+                    continue
+                if name in _INLINE or not opened.places.get(name):
+                    continue
+                hidden = ""  # it ends with what it stands in
+            if kind == "close":
                 if name == "a":
                     links = max(0, links - 1)
                 elif name == "br":
                     self._text(stack[-1][0], " ", 0)
-                if name not in _INLINE:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][1] == name:
-                            del stack[i:]
-                            links = 0
-                            break
-                        if stack[i][1] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                            break
+                if name not in _INLINE and opened.close(name):
+                    links = 0
                 continue
+            closed = attributes.endswith("/")
             if name in _RAW or name in _HIDDEN:
-                if not m.group(0).endswith("/>"):
+                if not closed:
                     if name in _RAW:
-                        end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                        at = end.end() if end else len(source)
+                        at = marks.raw_end(name, at)
                     else:
-                        hidden = name
+                        hidden, inner = name, {}
                 self.marks[stack[-1][0]] += name in ("select", "textarea", "button")
                 continue
             if name in _INLINE or name in _VOID:
@@ -125,27 +227,24 @@ class Page:
                     self._text(stack[-1][0], " ", 0)
                 continue
             links = 0
-            if name in ("html", "body") and len(self.tag) > 1 and any(t == name for _, t in stack):
+            if name in ("html", "body") and opened.places.get(name):
                 continue
             if stack[-1][1] == "p":
-                stack.pop()
+                opened.pop()
             ends, holds = _ENDS.get(name), _HOLDS.get(name, ())
-            while ends and stack[-1][1] not in holds and any(t in ends for _, t in stack[_last(stack, holds) + 1 :]):
-                stack.pop()
+            while ends and opened.last(ends) > opened.last(holds):
+                opened.pop()
             if stack[-1][1][0] == "h" and stack[-1][1] in _LIKE and name in _LIKE and _LIKE[name] == "heading":
-                stack.pop()
+                opened.pop()
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1][0])
             self.depth.append(self.depth[stack[-1][0]] + 1)
-            self.groups.append(token_groups(m.group(3)) if m.group(3) else set())
-            kept = re.search(r"data-kept=\"?(\d)", m.group(3)) if m.group(3) else None
+            self.groups.append(token_groups(attributes) if attributes else set())
+            kept = re.search(r"data-kept=\"?(\d)", attributes) if attributes else None
             self.kept.append(int(kept[1]) if kept else None)
             self.marks.append(0)
-            if not m.group(0).endswith("/>") or name not in _VOID:
-                stack.append((node, name))
-        if at < len(source) and not hidden:
-            self._text(stack[-1][0], source[at:], links)
+            opened.push(node, name)
 
     def _text(self, node: int, raw: str, links: int) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
@@ -168,10 +267,9 @@ class Page:
                 row[2] += text.count(" ") + 1
                 row[3] += text.count(". ") + text.count("! ") + text.count("? ") + (text.rstrip()[-1] in ".!?")
                 row[4] += text.count(",")
-                letters = text[:400]
-                plain = letters.encode("latin-1", "ignore")
-                row[5] += len(plain.translate(None, _NOT_CAPITAL)) * size / len(letters)
-                row[6] += len(plain.translate(None, _NOT_DIGIT)) * size / len(letters)
+                plain = text.encode("latin-1", "ignore")
+                row[5] += len(plain.translate(None, _NOT_CAPITAL))
+                row[6] += len(plain.translate(None, _NOT_DIGIT))
                 first[node] = min(first[node], total)
                 total += size
         marks = np.array(self.marks, float)
@@ -273,10 +371,6 @@ class Page:
         return "\n".join(blocks)
 
 
-def _last(stack: list[tuple[int, str]], holds: Iterable[str]) -> int:
-    return max((i for i, (_, t) in enumerate(stack) if t in holds), default=0)
-
-
 def truth(page: Page) -> np.ndarray | None:
     """Which elements belong to the article by the page's own markup; None where it does not tell."""
     if not any(t in ("article", "main") for t in page.tag) and 1 not in page.kept:
@@ -412,13 +506,15 @@ def read_trees(described: str) -> Trees:
 
 
 def fit(pages: DataFrame, html: str = "html", limit: int = PAGES, seed: int = 17) -> Trees | None:
-    """Boosted trees from at most `limit` pages (those whose hash is smallest) whose own markup tells the article, each also in
+    """Boosted trees from at most `limit` different pages (those whose hash is smallest) whose own markup tells the article, each also in
     other surroundings, so that the trees do not lean on that markup. None if there are no such pages."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     told = pages.select(F.col(html).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    chosen = cut(told.orderBy(F.xxhash64("html"), "html").limit(limit))
+    hashes = told.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(limit)
+    told = told.join(F.broadcast(hashes), F.xxhash64("html") == F.col("h"), "left_semi")
+    chosen = cut(told.groupBy(F.xxhash64("html").alias("h")).agg(F.min("html").alias("html")).select("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
