@@ -7,7 +7,12 @@ download_url, width, height, license`` and ``cand_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import classify as C
 from ..functions.media import clamp, dot
@@ -20,58 +25,70 @@ SCENE = ["plan_id", "scene_idx"]
 STOCK = ("pexels", "pixabay")
 
 
-def search_library(queries: DataFrame, library: DataFrame, k: int = 12, common: int = 100_000) -> DataFrame:
+TOGETHER = 2048  # queries that one pass over the library answers, and files that are scored at a time
+
+
+def search_library(queries: DataFrame, library: DataFrame, k: int = 12) -> DataFrame:
     """Top ``k`` library files per query by shared tokens of name and folders.
 
-    ``queries`` has ``query_id, query``; ``library`` has ``cand_id, name, folders,
-    kind``. Files that share no token fill up the tail. Returns ``query_id, place,
-    cand_id, score``.
+    ``queries`` has ``query_id, query``; ``library`` has ``cand_id, name, folders, kind``. Files that share no token fill up the tail, ties go to the
+    smaller ``cand_id``. Returns ``query_id, place, cand_id, score``.
 
-    Tokens found in more than ``common`` files are looked up only for the queries
-    that need them: those whose ``k``-th file by rarer tokens does not beat the best
-    score that common tokens alone could give.
+    Queries go in groups of bounded size. Each group travels to the files as an inverted index: every file adds up what its tokens are worth to each
+    query, so a token that all files hold makes no rows, and a task hands on its best ``k`` files of each query.
     """
     bonus = F.when(F.col("kind") == "video", 2.5).otherwise(0.0)
-    fold = lambda c: tokens(F.translate(F.col(c), "_-", "  "))
-    files = library.select("cand_id", bonus.alias("base"), fold("name").alias("nt"), tokens(F.col("folders")).alias("ft"))
-    index = files.select("cand_id", F.explode(F.array_union("nt", "ft")).alias("token"))
-    asks = queries.select("query_id", tokens(F.col("query")).alias("qt"))
-    asked = asks.select("query_id", F.explode("qt").alias("token"))
-    often = index.groupBy("token").count().filter(F.col("count") > common).select("token")
+    files = library.select("cand_id", bonus.alias("base"), tokens(F.translate("name", "_-", "  ")).alias("nt"), tokens(F.col("folders")).alias("ft"))
+    asks = checkpoint(queries.select("query_id", tokens(F.col("query")).alias("qt")))
+    groups = max(1, -(-asks.count() // TOGETHER))
+    asks = asks.withColumn("__group", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+    schema = T.StructType([asks.schema["query_id"], files.schema["cand_id"], T.StructField("score", T.DoubleType())])
+    best = None
+    for g in range(groups):
+        part = files.mapInArrow(_library_scores(asks.filter(F.col("__group") == g).select("query_id", "qt").toArrow(), k), schema)
+        best = part if best is None else best.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
-
-    def best(scored: DataFrame) -> DataFrame:
-        return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-
-    def scored(words: DataFrame) -> DataFrame:
-        """Full scores of all files that share one of the given query words."""
-        pairs = words.join(index, "token").select("query_id", "cand_id").distinct()
-        j = pairs.join(files, "cand_id").join(asks, "query_id")
-        score = F.size(F.array_intersect("qt", "nt")) * 8.0 + F.size(F.array_intersect("qt", "ft")) * 2.0 + F.col("base")
-        return j.select("query_id", "cand_id", score.alias("score"))
-
-    if often.limit(1).isEmpty():
-        named = files.select("cand_id", "base", F.explode("nt").alias("token"), F.lit(8.0).alias("weight"))
-        filed = files.select("cand_id", "base", F.explode("ft").alias("token"), F.lit(2.0).alias("weight"))
-        hits = asked.join(named.unionByName(filed), "token").groupBy("query_id", "cand_id").agg((F.sum("weight") + F.first("base")).alias("score"))
-        top = best(hits).drop("place")
-    else:
-        rare = checkpoint(best(scored(asked.join(often, "token", "left_anti"))).drop("place"))
-        plain = checkpoint(asked.join(often, "token"))
-        limit = plain.groupBy("query_id").agg((F.count(F.lit(1)) * 10.0 + 2.5).alias("bound"))
-        reached = rare.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-        open_ = limit.join(reached, "query_id", "left").filter(F.col("n").isNull() | (F.col("n") < k) | (F.col("kth") <= F.col("bound")))
-        more = scored(plain.join(open_.select("query_id"), "query_id", "left_semi"))
-        top = best(rare.unionByName(more).distinct()).drop("place")
-
-    # The best k files by kind alone; a matching one among them ranks above its own tail entry.
-    tail = [(r["cand_id"], r["base"]) for r in files.orderBy(F.desc("base"), "cand_id").select("cand_id", "base").limit(k).collect()]
-    if tail:
-        id_type = dict(library.dtypes)["cand_id"]
-        items = F.array(*[F.struct(F.lit(i).cast(id_type).alias("cand_id"), F.lit(b).alias("score")) for i, b in tail])
-        rest = queries.select("query_id", F.inline(items))
-        top = top.unionByName(rest).groupBy("query_id", "cand_id").agg(F.max("score").alias("score"))
-    return best(top).select("query_id", "place", "cand_id", "score")
+    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "place", "cand_id", "score")
+
+
+def _library_scores(asks: pa.Table, k: int):
+    """A scorer of files (cand_id, base, nt, ft) that yields the best k of each query among those it has seen."""
+    ids = asks.column("query_id").to_pylist()
+    places: dict[str, list[int]] = {}
+    for i, words in enumerate(asks.column("qt").to_pylist()):
+        for w in words:
+            places.setdefault(w, []).append(i)
+    index = {w: np.array(at) for w, at in places.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: list[list[tuple]] = [[] for _ in ids]
+        bar = np.full(len(ids), -np.inf)
+
+        def take(part: pa.RecordBatch) -> None:
+            names, base = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False)
+            scores = np.tile(base, (len(ids), 1))
+            for column, weight in ((part.column(2), 8.0), (part.column(3), 2.0)):
+                for f, words in enumerate(column.to_pylist()):
+                    hits = [index[w] for w in words if w in index]
+                    if hits:
+                        scores[:, f] += weight * np.bincount(np.concatenate(hits), minlength=len(ids))
+            for q in np.flatnonzero(scores.max(axis=1) >= bar):
+                row = scores[q]
+                at = np.flatnonzero(row >= bar[q])
+                if len(at) > k:  # more than enough: what lies below the k-th of these cannot stay
+                    at = at[row[at] >= np.partition(row[at], -k)[-k]]
+                top[q] = heapq.nsmallest(k, top[q] + [(-float(row[f]), names[f]) for f in at])
+                if len(top[q]) == k:
+                    bar[q] = -top[q][-1][0]
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                take(batch.slice(start, TOGETHER))
+        rows = [(ids[q], name, -score) for q, found in enumerate(top) for score, name in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], asks.schema.field("query_id").type), *(pa.array([r[i] for r in rows]) for i in (1, 2))], names=["query_id", "cand_id", "score"])
+
+    return run
 
 
 def union_providers(*tables: DataFrame, keys: list[str] = SCENE, want_video: Column | None = None) -> DataFrame:

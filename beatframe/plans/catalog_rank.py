@@ -24,7 +24,8 @@ NONE = "array<string>"
 
 
 def library(v: Views) -> DataFrame:
-    return v.candidates().select("cand_id", F.col("title").alias("name"), F.concat_ws(" ", "lang", "provider").alias("folders"), "kind")
+    """Whole texts as names, so that every word of a document can be found."""
+    return v.candidates().select("cand_id", F.col("description").alias("name"), F.concat_ws(" ", "lang", "provider").alias("folders"), "kind")
 
 
 @query

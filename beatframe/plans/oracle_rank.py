@@ -12,7 +12,7 @@ from .oracle_text import QTY, alt, guard, ordered, squash
 
 SEARCH = CANDIDATES + f""",
 qs AS (SELECT CAST(item_id AS INT) AS query_id, text AS query, {toks('text')} AS qt FROM benchmark),
-lib AS (SELECT *, CASE WHEN kind = 'video' THEN 2.5::DOUBLE ELSE 0.0 END AS base, {toks("translate(title, '_-', '  ')")} AS nt, {toks("lang || ' ' || provider")} AS ft FROM candidates),
+lib AS (SELECT *, CASE WHEN kind = 'video' THEN 2.5::DOUBLE ELSE 0.0 END AS base, {toks("translate(description, '_-', '  ')")} AS nt, {toks("lang || ' ' || provider")} AS ft FROM candidates),
 hits AS (SELECT query_id, query, cand_id, 8.0::DOUBLE * len(list_intersect(qt, nt)) + 2.0 * len(list_intersect(qt, ft)) + base AS score FROM qs, lib),
 top24 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS INT) AS place FROM hits QUALIFY place <= 24)"""
 sql("token_search_topk", SEARCH, "SELECT query_id, place, cand_id, score FROM top24 WHERE place <= 12")

@@ -149,12 +149,20 @@ def test_validate_words_running_maximum_across_blocks(spark):
     assert rows(V.validate_words(w, size=4)) == rows(V.validate_words(w))
 
 
-def test_search_looks_up_common_tokens_only_where_needed(spark):
+def test_search_equals_scoring_every_file(spark, monkeypatch):
+    """Hot tokens, several groups of queries, several partitions and ties, against a loop."""
+    monkeypatch.setattr(K, "TOGETHER", 3)
     rnd = random.Random(4)
     words = ["the", "of"] * 6 + [f"w{i}" for i in range(30)]
-    lib = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=5)), rnd.choice(["the", "x"]), rnd.choice(["video", "image"])) for i in range(150)], "cand_id long, name string, folders string, kind string")
-    q = spark.createDataFrame([(1, "the of"), (2, "the w1 w2 w3"), (3, "w4"), (4, "nothing here"), (5, "the of w9 w8")], "query_id int, query string")
-    assert rows(K.search_library(q, lib, 6, common=20)) == rows(K.search_library(q, lib, 6))
+    files = [(i, " ".join(rnd.choices(words, k=5)), rnd.choice(["the", "xx"]), rnd.choice(["video", "image"])) for i in range(150)]
+    asks = [(1, "the of"), (2, "the w1 w2 w3"), (3, "w4"), (4, "nothing here"), (5, "the of w9 w8"), (6, None), (7, "xx")]
+    got = K.search_library(spark.createDataFrame(asks, "query_id int, query string"), spark.createDataFrame(files, "cand_id long, name string, folders string, kind string").repartition(4), 6)
+    want = []
+    for q, text in asks:
+        t = {w for w in (text or "").split() if len(w) > 1}
+        scored = sorted((-(8.0 * len(t & set(n.split())) + 2.0 * len(t & set(f.split())) + (2.5 if kind == "video" else 0)), i) for i, n, f, kind in files)
+        want += [(q, p, i, -s) for p, (s, i) in enumerate(scored[:6], 1)]
+    assert sorted(map(tuple, got.collect())) == want
 
 
 def test_resolution_equals_choosing_scene_by_scene(spark):
