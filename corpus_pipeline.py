@@ -15,9 +15,20 @@ from beatframe.llm.common import checkpoint_dir, cut
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+BATCH = 2000  # rows that a Python worker gets at once; whole documents in larger batches make workers and executors large
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH rows from now on, in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not call toxic; rows of a null doc_id are judged by their text like others,
     and other columns of any name are carried along."""
+    _small_batches(spark)
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(samples.fold_of("doc_id", 5) != 0)
     names = docs.columns
@@ -31,6 +42,7 @@ def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Each row goes or stays by its own decision, whatever its doc_id. The decision follows from text, language and source alone, so only
     128-bit hashes of these are joined with the texts."""
+    _small_batches(spark)
     parts = [F.xxhash64(F.lit(i), *[x for c in ("text", "lang", "source") for x in (docs[c].isNull(), docs[c])]) for i in (1, 2)]
     rows = docs.select(*docs.columns, parts[0].alias("__row_1"), parts[1].alias("__row_2"))
     decided = language.identify_documents(rows, language.learn(docs), keep=("__row_1", "__row_2"))
@@ -40,12 +52,14 @@ def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of near copies; rows that repeat its doc_id and those without one stay."""
+    _small_batches(spark)
     linked = jaccard.link(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.min("component_id").alias("component"))
     return docs.join(cut(linked.where("component < doc_id").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of at most 4096 tokens."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
