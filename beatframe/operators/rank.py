@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import classify as C
 from ..functions.media import clamp, dot
@@ -316,10 +317,10 @@ def pick_pixabay_variant(variants: Column) -> Column:
 
 
 def cosine_scores(prompts: DataFrame, items: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
-    """Similarity of each item to the prompts of its key; items without a vector score 0.
+    """Similarity of each item to the prompts of its key, every pair a row; items without a vector score 0.
 
     ``prompts`` has the keys, ``prompt_id, embedding``; ``items`` the keys,
-    ``item_id, embedding``; vectors have unit length.
+    ``item_id, embedding``; vectors have unit length. ``top_cosine`` and ``pooled_cosine`` give the best and the pooled scores without the pairs.
     """
     p = prompts.select(*keys, "prompt_id", F.col("embedding").alias("__p"))
     i = items.select(*keys, "item_id", F.col("embedding").alias("__i"))
@@ -327,6 +328,81 @@ def cosine_scores(prompts: DataFrame, items: DataFrame, keys: list[str], digits:
     return i.join(p, keys).select(*keys, "prompt_id", "item_id", F.round(score, digits).alias("score"))
 
 
+SIDE = 512  # prompts, and items, of a cell of the grid, on average
+
+
+def _cell_products(prompts: DataFrame, items: DataFrame, keys: list[str], group: str, reduce, out: list[T.StructField]) -> DataFrame:
+    """Prompts and items of a key in a grid of blocks; each cell is one matrix product, of which ``reduce(prompt ids, item ids, groups, scores)`` keeps columns.
+
+    Items of one ``group`` meet in one block. A key of any size is spread over its cells; a vector is copied once for each block of the other side.
+    """
+    sizes = prompts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("__np")).join(
+        items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("__ni")), keys
+    )
+    sizes = checkpoint(sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    p = prompts.join(sizes, keys).select(*keys, own("prompt_id", "__np").alias("__pb"), every("__ni").alias("__ib"), "prompt_id", "embedding")
+    i = items.join(sizes, keys).select(*keys, every("__np").alias("__pb"), own(group, "__ni").alias("__ib"), "item_id", F.col(group).alias("__g"), "embedding")
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        rows = column.to_pylist()
+        width = max((len(r) for r in rows if r is not None), default=0)
+        return np.array([r if r is not None else [0.0] * width for r in rows], float).reshape(len(rows), width)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema_of.empty_table()
+        a, b = matrix(left.column("embedding")), matrix(right.column("embedding"))
+        scores = a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)))
+        columns = reduce(left.column("prompt_id"), right.column("item_id"), right.column("__g"), scores)
+        n = len(columns[0])
+        return pa.Table.from_arrays([*(pa.array([left.column(k)[0].as_py()] * n, left.schema.field(k).type) for k in keys), *columns], schema=schema_of)
+
+    schema = T.StructType([*(items.schema[k] for k in keys), *out])
+    schema_of = to_arrow_schema(schema)
+    where = [*keys, "__pb", "__ib"]
+    return p.groupBy(*where).cogroup(i.groupBy(*where)).applyInArrow(run, schema)
+
+
+def top_cosine(prompts: DataFrame, items: DataFrame, keys: list[str], k: int, digits: int = 6) -> DataFrame:
+    """The ``k`` most similar items of each prompt among those of its key: ``prompt_id, place, item_id, score``; ties go to the smaller ``item_id``.
+
+    Vectors as in ``cosine_scores``. Each cell of the grid hands on its best ``k`` of each prompt, never the pairs.
+    """
+
+    def reduce(prompt_ids, item_ids, groups, scores):
+        rounded = np.round(scores, digits) + 0.0
+        by_id = np.argsort(np.array(item_ids.to_pylist(), dtype=object), kind="stable")
+        best = by_id[np.argsort(-rounded[:, by_id], axis=1, kind="stable")[:, :k]]
+        rows, at = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
+        return [prompt_ids.combine_chunks().take(pa.array(rows)), item_ids.combine_chunks().take(pa.array(at)), pa.array(rounded[rows, at])]
+
+    found = _cell_products(prompts, items, keys, "item_id", reduce, [prompts.schema["prompt_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
+    order = Window.partitionBy("prompt_id").orderBy(F.desc("score"), "item_id")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(*keys, "prompt_id", "place", "item_id", "score")
+
+
+def pooled_cosine(prompts: DataFrame, frames: DataFrame, keys: list[str], candidate: str, digits: int = 6) -> DataFrame:
+    """``visual`` of each candidate for the prompts of its key: 0.72 of its best and 0.28 of its mean frame score (see ``pool_frames``).
+
+    All frames of a candidate lie in one block, so a cell pools them at once and no row stands for a single frame.
+    """
+
+    def reduce(prompt_ids, item_ids, groups, scores):
+        rounded = np.round(scores, digits) + 0.0
+        names = groups.combine_chunks().dictionary_encode()
+        of = names.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+        counts = np.diff(np.append(starts, len(order)))
+        visual = np.maximum.reduceat(rounded[:, order], starts, axis=1) * 0.72 + np.add.reduceat(rounded[:, order], starts, axis=1) / counts * 0.28
+        rows, at = np.repeat(np.arange(len(scores)), len(starts)), np.tile(of[order][starts], len(scores))
+        return [prompt_ids.combine_chunks().take(pa.array(rows)), names.dictionary.take(pa.array(at)), pa.array(visual.ravel())]
+
+    return _cell_products(prompts, frames, keys, candidate, reduce, [prompts.schema["prompt_id"], frames.schema[candidate], T.StructField("visual", T.DoubleType())])
+
+
 def blend_scores(rows: DataFrame) -> DataFrame:
     """0.62 specific + 0.34 primary + 0.04 title overlap, ranked per scene; ties go to the higher id.
 

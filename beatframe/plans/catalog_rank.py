@@ -126,14 +126,11 @@ def similar(v: Views) -> DataFrame:
 
 @query
 def clip_cosine_topk(v: Views) -> DataFrame:
-    order = Window.partitionBy("prompt_id").orderBy(F.desc("score"), "item_id")
-    top = similar(v).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 6)
-    return top.select("prompt_id", "place", "item_id", "score")
+    return K.top_cosine(prompts(v), frames(v), ["scene_idx"], 6, digits=9).select("prompt_id", "place", "item_id", "score")
 
 
 def pooled(v: Views) -> DataFrame:
-    s = similar(v).withColumn("cand_id", F.floor(F.col("item_id") / 3).cast("int"))
-    return K.pool_frames(s, ["scene_idx", "prompt_id", "cand_id"])
+    return K.pooled_cosine(prompts(v), frames(v), ["scene_idx"], "cand_id", digits=9)
 
 
 @query

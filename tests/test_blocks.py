@@ -184,3 +184,29 @@ def test_resolution_equals_choosing_scene_by_scene(spark):
         used.add(best[3] if best else None)
     got = resolve(scenes, {"exact": df}, guard).select("scene_idx", "cand_id").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_block_products_equal_all_pairs(spark, monkeypatch):
+    """The best and pooled scores of a grid of small cells, with ties, a missing vector and a key without prompts, against every pair."""
+    monkeypatch.setattr(K, "SIDE", 3)
+    rnd = random.Random(9)
+    vector = lambda: [rnd.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(4)]
+    prompts = [(k, p + 100 * k, vector()) for k in (0, 1) for p in range(8 - 5 * k)]
+    items = [(k, i + 100 * k, i // 3, vector() if i != 4 else None) for k in (0, 1, 2) for i in range(20)]
+    p = spark.createDataFrame(prompts, "scene_idx int, prompt_id long, embedding array<float>")
+    i = spark.createDataFrame(items, "scene_idx int, item_id long, cand_id int, embedding array<float>")
+    pairs = K.cosine_scores(p, i, ["scene_idx"]).collect()
+    want = []
+    for _, q, _ in prompts:
+        best = sorted((r for r in pairs if r.prompt_id == q), key=lambda r: (-r.score, r.item_id))[:5]
+        want += [(q, n, r.item_id, r.score) for n, r in enumerate(best, 1)]
+    got = K.top_cosine(p, i, ["scene_idx"], 5).select("prompt_id", "place", "item_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    of = {(k, n): c for k, n, c, _ in items}
+    groups = {}
+    for r in pairs:
+        groups.setdefault((r.scene_idx, r.prompt_id, of[r.scene_idx, r.item_id]), []).append(r.score)
+    pooled = {(r.scene_idx, r.prompt_id, r.cand_id): r.visual for r in K.pooled_cosine(p, i, ["scene_idx"], "cand_id").collect()}
+    assert pooled.keys() == groups.keys()
+    assert all(pooled[k] == pytest.approx(max(v) * 0.72 + sum(v) / len(v) * 0.28) for k, v in groups.items())
+    assert K.top_cosine(p.limit(0), i, ["scene_idx"], 5).count() == 0
