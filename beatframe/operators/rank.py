@@ -161,9 +161,12 @@ def _last_four(titles: Column) -> Column:
     return F.when(F.size(titles) > 4, F.slice(titles, -4, 4)).otherwise(titles)
 
 
-def rank_pool(scenes: DataFrame, candidates: DataFrame, used_urls: DataFrame | None = None, top: int | None = None) -> DataFrame:
+def rank_pool(scenes: DataFrame, candidates: DataFrame, used_urls: DataFrame | None = None, top: int | None = None, local: DataFrame | None = None) -> DataFrame:
     """Ranked candidates of each scene, one row per URL.
 
+    ``local`` holds library files as ``local_library_pool`` gives them: they join the pool ahead of equal scores, and a scene that wants the
+    library only and is not locked takes nothing else when it has some.
+
     ``scenes`` has ``plan_id, scene_idx, visual_mode, source_mode, semantic_lock,
     required_entities, required_context, visual_description`` and ``used_titles``
     (titles already registered in the plan). Adds ``score`` and ``place``. ``top``
@@ -197,6 +200,13 @@ def rank_pool(scenes: DataFrame, candidates: DataFrame, used_urls: DataFrame | N
     is_stock = (F.col("kind") == "video") & F.col("source").isin(*STOCK)
     with_stock = best.filter(F.col("__stock_only") & is_stock).select(*SCENE).distinct().withColumn("__has", F.lit(True))
     best = best.join(with_stock, SCENE, "left").filter(is_stock | F.col("__has").isNull())
+    if local is not None:
+        only = scenes.filter("source_mode = 'meme_library' and not semantic_lock").select(*SCENE).join(local.select(*SCENE).distinct(), SCENE)
+        best = best.join(only, SCENE, "left_anti")
+        first = F.struct(F.lit(-1).cast(c.schema["query_idx"].dataType).alias("query_idx"), F.col("pos").cast(c.schema["pos"].dataType).alias("pos")).alias("__first")
+        known = set(local.columns)
+        own = [F.col(x) if x in known and x != "pos" else F.lit(None).cast(best.schema[x].dataType).alias(x) for x in best.columns if x not in ("__first", "pos")]
+        best = best.unionByName(local.select(*own, F.col("pos").cast(c.schema["pos"].dataType).alias("pos"), first))
     return _placed(best, top)
 
 
@@ -209,13 +219,19 @@ def _placed(pool: DataFrame, top: int | None) -> DataFrame:
 
 
 def local_library_pool(scenes: DataFrame, hits: DataFrame) -> DataFrame:
-    """Scores of local library files for meme scenes: 30 + search score, 100 more for the named file.
+    """Local library files as candidates of unlocked meme scenes: 30 + search score, 100 more for the named file, which also goes first among equals.
 
-    ``hits`` is the library search joined with ``plan_id, scene_idx, file_name, score``.
+    ``scenes`` has ``visual_mode, source_mode, semantic_lock, meme_filename``; ``hits`` is the library search of each scene: ``plan_id, scene_idx, place,
+    cand_id, path, file_name, title, kind, size, score``.
     """
-    j = hits.join(scenes.select(*SCENE, "meme_filename"), SCENE)
+    wants = ((F.col("visual_mode") == "meme") | (F.col("source_mode") == "meme_library")) & ~F.col("semantic_lock")
+    j = hits.join(scenes.filter(wants).select(*SCENE, "meme_filename"), SCENE)
     named = F.coalesce(F.col("file_name") == F.col("meme_filename"), F.lit(False))
-    return j.withColumn("score", 30.0 + F.col("score") + F.when(named, 100.0).otherwise(0.0)).drop("meme_filename")
+    return j.select(
+        *SCENE, "cand_id", F.concat(F.lit("local:"), "path").alias("download_url"), F.lit("local meme library").alias("query"), F.lit("local_meme").alias("source"), "kind", "title",
+        F.lit("").alias("description"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit("local user library").alias("license"), "size",
+        (30.0 + F.col("score") + F.when(named, 100.0).otherwise(0.0)).alias("score"), F.when(named, 0).otherwise(F.col("place")).alias("pos"),
+    )
 
 
 def recovery_pool(scenes: DataFrame, candidates: DataFrame, used_urls: DataFrame | None = None, top: int | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ from ..functions import text as T
 from ..operators import cues as O, dedup as D, expand as E, quality as G, rank as K, report as A, sequence as Q, validate as V
 from ..operators.blocks import checkpoint
 from ..functions.lexicon import match_lexicon
+from ..sources import writers as W
 from ..views import Views
-from .catalog import CUES, SCENE, joined, planted, query
+from .catalog import CUES, MOOD_RULES, SCENE, joined, planted, query
 from .catalog_text import gray
 from . import finalize
 from .repair import repair_loop
@@ -74,6 +75,23 @@ def lexical_rank_topk(v: Views) -> DataFrame:
     return r.select("plan_id", "place", "cand_id", F.round("score", 4).alias("score"))
 
 
+@query
+def local_pool(v: Views) -> DataFrame:
+    """Pools of which every third scene wants memes, every sixth the library only, with the best 20 library files; one scene in nine names its file."""
+    i = F.col("plan_id")
+    s = asking(v).withColumns(
+        {
+            "visual_mode": F.when(i % 3 == 0, "meme").otherwise(F.col("visual_mode")), "source_mode": F.when(i % 6 == 0, "meme_library").otherwise(F.col("source_mode")),
+            "meme_filename": F.when(i % 9 == 0, F.concat(F.lit("doc"), i.cast("string"))),
+        }
+    )
+    files = v.candidates().select("cand_id", "kind", "title", "size", F.concat(F.lit("memes/"), "cand_id").alias("path"), F.concat(F.lit("doc"), "cand_id").alias("file_name"))
+    hits = K.search_library(v.queries(), library(v), 20).join(files, "cand_id")
+    hits = hits.select(F.col("query_id").cast("bigint").alias("plan_id"), F.lit(0).alias("scene_idx"), "place", "score", *files.columns)
+    r = K.rank_pool(s, found(v), local=K.local_library_pool(s, hits))
+    return r.select("plan_id", "place", "source", "cand_id", F.round("score", 4).alias("score"))
+
+
 @query
 def recovery_rank(v: Views) -> DataFrame:
     r = K.recovery_pool(asking(v), found(v), toxic(v))
@@ -294,9 +312,10 @@ def material_usage(v: Views) -> DataFrame:
 @query
 def exact_duplicates(v: Views) -> DataFrame:
     """Copies of whole texts within a source: the first holder and its repeats."""
-    d = v.table("documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path")
+    d = D.media_digest(v.table("documents").select(path, "source", "doc_id", F.col("text").cast("binary").alias("content")))
     files = d.select(
-        F.col("source").alias("plan_id"), F.col("doc_id").alias("scene_idx"), F.lit("image").alias("asset_kind"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("asset"), "digest",
+        F.col("source").alias("plan_id"), F.col("doc_id").alias("scene_idx"), F.lit("image").alias("asset_kind"), F.col("path").alias("asset"), "digest",
         F.lit(None).cast("array<bigint>").alias("ahash"),
     )
     again = D.duplicate_scenes(files).filter("reason = 'same_bytes'").select(F.col("scene_idx").alias("doc_id"), F.col("original_scene").alias("original"))
@@ -351,6 +370,16 @@ def plan_cues(v: Views) -> DataFrame:
     return O.plan_cues(v.scenes(), CUES)
 
 
+@query
+def cue_records(v: Views) -> DataFrame:
+    """Sound plans as they are written, cues as names, count and bounds."""
+    moods = A.plan_mood(v.scenes(), MOOD_RULES)
+    r = W.cue_records(O.plan_cues(v.scenes(), CUES), moods)
+    last = F.try_element_at("cues", F.lit(-1))
+    names = F.array_join(F.transform("cues", lambda c: F.concat_ws(":", c["kind"], c["name"])), "|")
+    return r.select("plan_id", "mood", "music_gain_db", F.coalesce(F.size("cues"), F.lit(0)).alias("cues"), names.alias("names"), last["time"].alias("last_time"), last["gain_db"].alias("last_gain_db"))
+
+
 @query
 def cues_deduped(v: Views) -> DataFrame:
     """Cues of the short scenes, so that repeats fall within the gap."""
@@ -470,6 +499,20 @@ def described(v: Views) -> DataFrame:
     return checkpoint(s)
 
 
+@query
+def plan_records(v: Views) -> DataFrame:
+    """Whole plans as they are written, scenes as counts, bounds and joined fields."""
+    plans = v.scenes().groupBy("plan_id").agg(F.max("end_ms").alias("duration_ms"))
+    s = described(v).withColumn("asset", F.concat(F.lit("/media/"), F.when(F.col("scene_idx") % 2 == 0, "in/").otherwise("out/"), F.col("scene_idx").cast("string")))
+    r = W.plan_records(s, plans, base="/media/in")
+    one, last = F.element_at("scenes", 1), F.element_at("scenes", -1)
+    list_of = lambda f: F.array_join(F.transform("scenes", lambda x: x[f].cast("string")), "|")
+    return r.select(
+        "plan_id", "duration_ms", F.size("scenes").alias("scenes"), one["start"].alias("first_start"), last["end"].alias("last_end"), list_of("asset").alias("assets"),
+        list_of("visual_mode").alias("modes"), list_of("semantic_lock").alias("locks"), last["caption"].alias("last_caption"),
+    )
+
+
 def rewritten(s: DataFrame, *more: str) -> DataFrame:
     return s.select(*SCENE, "query", joined("search_queries").alias("queries"), "visual_description", "visual_mode", "source_mode", "motion_preset", *more)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import media as M, text as T
 from ..operators import dedup as D, quality as G, rank as K
 from ..sources import readers as S
+from ..sources import writers as W
 from ..views import Views
 from .catalog import NUMBER, PLAN, SCENE, joined, planted, query
 
@@ -275,6 +276,15 @@ def scene_qc(v: Views) -> DataFrame:
     return checked(v).select(*SCENE, "ok", "score", joined("reasons").alias("reasons"))
 
 
+@query
+def qc_records(v: Views) -> DataFrame:
+    """Check results as they are written, scenes as counts and joined scores."""
+    r = W.qc_records(checked(v))
+    scores = F.array_join(F.transform("scenes", lambda x: F.floor(x["score"] * 100 + 0.5).cast("string")), "|")
+    failed = F.size(F.filter("scenes", lambda x: ~x["ok"]))
+    return r.select("plan_id", "ok", "average_score", F.size("scenes").alias("scenes"), scores.alias("scores"), failed.alias("failed"))
+
+
 @query
 def qc_summary(v: Views) -> DataFrame:
     return G.qc_summary(checked(v))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import recipes as P, rules as R, text as T
 from ..operators import rank as CUT
 from . import catalog as Q
-from .oracle import CANDIDATES, CAPTIONS, CHUNKS, DEFAULT_ROLES, JUDGE, PLANTED, RANGES, SCENES, SHOTS, WORDS, context, entities, every, first, has, join, lit, role_case, sql, tone_case, toks
+from .oracle import ORACLE, CANDIDATES, CAPTIONS, CHUNKS, DEFAULT_ROLES, JUDGE, PLANTED, RANGES, SCENES, SHOTS, WORDS, context, entities, every, first, has, join, lit, role_case, sql, tone_case, toks
 from .oracle_text import QTY, alt, guard, ordered, squash
 
 # --- search ---------------------------------------------------------------------
@@ -54,6 +54,15 @@ def recovered(name: str, used: bool) -> str:
 sql("lexical_rank_topk", FOUND + "," + ranked("pool", True), "SELECT plan_id, place, cand_id, round(score, 4) AS score FROM pool")
 sql("recovery_rank", FOUND + "," + recovered("pool", True), "SELECT plan_id, place, cand_id, round(score, 4) AS score FROM pool")
 
+ASKING_MEMES = """,
+asked AS (SELECT plan_id, CASE WHEN plan_id % 3 = 0 THEN 'meme' ELSE vm END AS vm, CASE WHEN plan_id % 6 = 0 THEN 'meme_library' ELSE sm END AS sm, lk, q, qt FROM asking)"""
+POOL_MEMES = ranked("pool", False).replace("JOIN asking a", "JOIN asked a").replace(MODE, f"CASE WHEN vm = 'meme' THEN -10.0 ELSE {MODE} END").replace(SOURCE, f"CASE WHEN sm = 'meme_library' THEN -100.0 ELSE {SOURCE} END")
+sql("local_pool", FOUND + ASKING_MEMES + "," + POOL_MEMES + """,
+loc AS (SELECT t.query_id AS plan_id, t.cand_id, 30.0::DOUBLE + t.score + CASE WHEN t.query_id % 9 = 0 AND t.cand_id = t.query_id THEN 100 ELSE 0 END AS score, CASE WHEN t.query_id % 9 = 0 AND t.cand_id = t.query_id THEN 0 ELSE place END AS pos
+  FROM top24 t JOIN asked a ON a.plan_id = t.query_id WHERE place <= 20 AND NOT lk AND (vm = 'meme' OR sm = 'meme_library')),
+every AS (SELECT plan_id, 'local_meme' AS source, cand_id, score, -1 AS q, pos FROM loc
+  UNION ALL SELECT plan_id, provider, cand_id, score, query_idx, pos FROM pool WHERE lk OR sm <> 'meme_library')""", """SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY score DESC, q, pos) AS INT) AS place, source, cand_id, round(score, 4) AS score FROM every""")
+
 sql("provider_union", CANDIDATES, """, t AS (SELECT d.lang, md5(d.text) AS download_url, provider AS source, kind, doc_id AS pos, CASE provider WHEN 'commons' THEN 0 WHEN 'openverse' THEN 1 WHEN 'pexels' THEN 2 ELSE 3 END AS r FROM documents d JOIN candidates c ON c.cand_id = d.doc_id)
 SELECT lang, download_url, source, pos FROM t WHERE lang <> 'fr' OR kind <> 'video' QUALIFY row_number() OVER (PARTITION BY lang, download_url ORDER BY r, pos) = 1""")
 sql("round_robin_pool", "", """WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn, min(doc_id) OVER (PARTITION BY lang, source) AS f FROM documents)
@@ -190,7 +199,6 @@ f AS (SELECT plan_id, r, scene_idx, [{{'s': scene_idx, 'k': kind, 'h': h}}] AS k
     """SELECT plan_id, scene_idx, fp AS original_scene, 1.0::DOUBLE AS similarity, 'same_path' AS reason FROM a WHERE scene_idx > fp
 UNION ALL SELECT plan_id, scene_idx, fd, 1.0, 'same_bytes' FROM b WHERE scene_idx > fd UNION ALL SELECT plan_id, scene_idx, m.s, round(1.0::DOUBLE - m.d / 256.0::DOUBLE, 6), 'near_duplicate' FROM f WHERE m IS NOT NULL""")
 
-from .oracle import ORACLE  # noqa: E402
 
 sql("diversity_summary", "", ORACLE["repetition_runs"].replace("SELECT plan_id, scene_idx, CASE WHEN lng THEN 'run' ELSE 'return' END AS rule FROM f WHERE lng OR ret", """, dup AS (SELECT plan_id, count(*) AS n FROM f WHERE lng OR ret GROUP BY 1)
 SELECT s.plan_id, count(*) FILTER (asset_kind <> 'blank') AS materialized_scenes, coalesce(any_value(n), 0) AS duplicate_scenes, greatest(0, count(*) FILTER (asset_kind <> 'blank') - coalesce(any_value(n), 0)) AS unique_visuals FROM shots s LEFT JOIN dup USING (plan_id) GROUP BY 1"""))
@@ -220,6 +228,9 @@ def cues(source: str) -> str:
 
 
 sql("plan_cues", SCENES, cues("scenes"))
+sql("cue_records", SCENES, f""", k AS ({cues('scenes')}), l AS (SELECT plan_id, CAST(count(*) AS INT) AS cues, string_agg(kind || ':' || name, '|' ORDER BY time_ms, ord, kind, name, gain_db) AS names,
+  round(max(time_ms) / 1000.0::DOUBLE, 3) AS last_time, arg_max(gain_db, (time_ms, ord, kind, name, gain_db)) AS last_gain_db FROM k GROUP BY 1), m AS ({ORACLE['plan_mood'].split(chr(10))[-1]})
+SELECT plan_id, mood, -22.0::DOUBLE AS music_gain_db, coalesce(cues, 0) AS cues, names, last_time, last_gain_db FROM m LEFT JOIN l USING (plan_id)""")
 sql("cues_deduped", SCENES, f""", sc AS (SELECT * REPLACE (CAST(floor(start_ms / 40) AS BIGINT) AS start_ms) FROM scenes), c AS ({cues('sc')}), n AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY time_ms, ord) AS r FROM c),
 f AS (SELECT plan_id, r, time_ms, ord, kind, name, gain_db, true AS kept, name AS ln, time_ms AS lt FROM n WHERE r = 1
   UNION ALL SELECT n.plan_id, n.r, n.time_ms, n.ord, n.kind, n.name, n.gain_db, NOT (n.name = f.ln AND n.time_ms - f.lt < 450), CASE WHEN n.name = f.ln AND n.time_ms - f.lt < 450 THEN f.ln ELSE n.name END, CASE WHEN n.name = f.ln AND n.time_ms - f.lt < 450 THEN f.lt ELSE n.time_ms END
@@ -330,6 +341,9 @@ def dedup_list(lst: str, n: int) -> str:
     return f"list_slice(list_filter({lst}, lambda x, i: list_position({low}, lower(x)) = i), 1, {n})"
 
 
+sql("plan_records", DESC, """SELECT plan_id, (SELECT max(end_ms) FROM scenes s WHERE s.plan_id = d.plan_id) AS duration_ms, CAST(count(*) AS INT) AS scenes, round(arg_min(start_ms, scene_idx) / 1000.0::DOUBLE, 3) AS first_start,
+  round(arg_max(end_ms, scene_idx) / 1000.0::DOUBLE, 3) AS last_end, string_agg(CASE WHEN scene_idx % 2 = 0 THEN '' ELSE '/media/out/' END || scene_idx, '|' ORDER BY scene_idx) AS assets,
+  string_agg(vm, '|' ORDER BY scene_idx) AS modes, string_agg(lk::VARCHAR, '|' ORDER BY scene_idx) AS locks, arg_max(caption, scene_idx) AS last_caption FROM described d GROUP BY plan_id""")
 sql("repairs_prepared", DESC, f""", v AS (SELECT *, qs[1] AS b, scene_idx % 2 = 1 AS fx FROM described), w AS (SELECT *, list_concat({VAR}, qs) AS al FROM v),
 x AS (SELECT *, CASE WHEN fx THEN {dedup_list('al', 8)} ELSE qs END AS nq, fx AND NOT lk AND sm IN ('generic_image', 'auto') AS tv FROM w)
 SELECT {OUT.format(q='nq[1]', qs='nq', d=f"CASE WHEN fx AND NOT lk THEN regexp_replace(descr, '[ .]+$', '') || '. ' || {lit(P.REPAIR_NOTE)} ELSE descr END", vm="CASE WHEN tv THEN 'video' ELSE vm END", sm="CASE WHEN tv THEN 'stock_video' ELSE sm END", mp='mp')} FROM x""")

@@ -160,3 +160,5 @@ qb AS (SELECT *, [CASE WHEN NOT shown THEN 'missing visual asset' END, CASE WHEN
 qc AS (SELECT plan_id, scene_idx, least(100, greatest(0, 100 + CASE WHEN sem >= 28 THEN 5 ELSE 0 END - list_sum(list_transform(r, lambda x, i: CASE WHEN x IS NULL THEN 0 ELSE [75, 75, 35, 15, 15, 10, 8, 35, 18, 12][i] END)))) AS pct, list_filter(r, lambda x: x IS NOT NULL) AS r FROM qb)"""
 sql("scene_qc", QC, f"SELECT plan_id, scene_idx, pct >= 55 AS ok, CAST(pct / 100.0::DOUBLE AS DOUBLE) AS score, {join('r')} AS reasons FROM qc")
 sql("qc_summary", QC, "SELECT plan_id, bool_and(pct >= 55) AS ok, round_even(avg(pct / 100.0::DOUBLE), 3) AS average_score, count(*) FILTER (pct < 55) AS failed FROM qc GROUP BY 1")
+sql("qc_records", QC, """SELECT plan_id, bool_and(pct >= 55) AS ok, round_even(avg(pct / 100.0::DOUBLE), 3) AS average_score, CAST(count(*) AS INT) AS scenes,
+  string_agg(CAST(pct AS BIGINT)::VARCHAR, '|' ORDER BY scene_idx) AS scores, CAST(count(*) FILTER (pct < 55) AS INT) AS failed FROM qc GROUP BY 1""")

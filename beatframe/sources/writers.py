@@ -61,21 +61,28 @@ def write_plans(scenes: DataFrame, plans: DataFrame, path: str, base: str = "",
     plan_records(scenes, plans, base).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_cues(cues: DataFrame, moods: DataFrame, path: str, mode: str = "error") -> None:
-    """Sound plan per plan: mood, music gain and the cues in order."""
+def cue_records(cues: DataFrame, moods: DataFrame) -> DataFrame:
+    """Sound plan per plan: mood, music gain and the cues in order (null where a plan has none)."""
     cue = F.struct("time_ms", "ord", seconds(F.col("time_ms")).alias("time"), "kind", "name", "gain_db")
     listed = cues.groupBy("plan_id").agg(F.sort_array(F.collect_list(cue)).alias("cues"))
     out = moods.join(listed, "plan_id", "left").withColumn("music_gain_db", F.lit(-22.0))
-    out = out.withColumn("cues", F.transform("cues", lambda c: c.dropFields("time_ms", "ord")))
-    out.write.mode(mode).json(path)
+    return out.withColumn("cues", F.transform("cues", lambda c: c.dropFields("time_ms", "ord")))
 
 
-def write_qc(qc: DataFrame, path: str, mode: str = "error") -> None:
+def write_cues(cues: DataFrame, moods: DataFrame, path: str, mode: str = "error") -> None:
+    cue_records(cues, moods).write.mode(mode).json(path)
+
+
+def qc_records(qc: DataFrame) -> DataFrame:
     """Check results per plan with their summary."""
     row = F.struct("scene_idx", "ok", "score", "reasons")
-    qc.groupBy("plan_id").agg(
+    return qc.groupBy("plan_id").agg(
         F.bool_and("ok").alias("ok"), F.bround(F.avg("score"), 3).alias("average_score"), F.sort_array(F.collect_list(row)).alias("scenes")
-    ).write.mode(mode).json(path)
+    )
+
+
+def write_qc(qc: DataFrame, path: str, mode: str = "error") -> None:
+    qc_records(qc).write.mode(mode).json(path)
 
 
 def write_rows(rows: DataFrame, path: str, mode: str = "error") -> None:
