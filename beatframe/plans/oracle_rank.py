@@ -483,3 +483,6 @@ FROM run r JOIN asking a ON r.i < 7 AND a.plan_id = r.p * 8 + r.i + 1 LEFT JOIN
 told AS (SELECT r.p AS plan_id, r.i AS scene_idx, a.lk, r.pick.c AS cand_id, -r.pick.s AS combined FROM run r JOIN asking a ON a.plan_id = r.p * 8 + r.i WHERE r.i >= 0)"""
 sql("run_resolved", IN_RUN, """SELECT plan_id, CAST(scene_idx AS INT) AS scene_idx, CASE WHEN cand_id IS NOT NULL THEN 'downloaded' WHEN lk THEN 'not_found_locked' ELSE 'not_found_recovery' END AS status,
   CASE WHEN cand_id IS NOT NULL THEN 'exact' END AS level, cand_id, round(combined, 4) AS combined FROM told""")
+# the same without titles: none of them has a word, so none is near another
+sql("scenes_resolved", IN_RUN.replace(f"'k': {toks('title')}", "'k': []::VARCHAR[]"), """SELECT plan_id, CAST(scene_idx AS INT) AS scene_idx,
+  CASE WHEN cand_id IS NOT NULL THEN 'downloaded' WHEN lk THEN 'not_found_locked' ELSE 'not_found_recovery' END AS status, CASE WHEN cand_id IS NOT NULL THEN 'exact' END AS level, cand_id FROM told""")
