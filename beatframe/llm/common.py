@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -142,6 +143,16 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def trim() -> None:
+    """Give memory that a finished piece of work has freed back to the system, so that workers that are kept do not stay as large as their largest task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; where none is set, one beside the warehouse, which every executor sees."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

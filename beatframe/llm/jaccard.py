@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatframe.llm.common import chained, components, cut, forest_of, mix, text_bytes, word_hashes
+from beatframe.llm.common import chained, components, cut, forest_of, mix, text_bytes, trim, word_hashes
 
 WORDS = 5
 _SLOTS = 4
@@ -138,6 +138,7 @@ def read_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             sets = [shingles(x, n) for x in text_bytes(batch.column(1))]
             keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys)], names=["id", "n_shingles", "set_key"])
+        trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -170,6 +171,8 @@ def send_features(sets: DataFrame, parts: int) -> DataFrame:
                     keys, tags, found, held = [], [], [], 0
         if found:
             yield from _dealt(keys, tags, found, parts)
+        del keys, tags, found
+        trim()
 
     return sets.select("set_key", "features").mapInArrow(run, _SENT)
 
@@ -197,6 +200,8 @@ def send_signatures(docs: DataFrame, text: str, n: int, bands: Bands, parts: int
                     keys, tags, found, held, seen = [], [], [], 0, set()
         if found:
             yield from _dealt(keys, tags, found, parts)
+        del keys, tags, found
+        trim()
 
     return docs.select(docs[text].alias("text")).mapInArrow(run, _SENT)
 
@@ -211,6 +216,7 @@ def count_holders(sent: DataFrame, parts: int) -> DataFrame:
     """For each set, how many of its signatures no other set has, and the others with their numbers of holders; in `parts` parts by key."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         part = table.column("part")[0].as_py()
         keys, tags = _whole(table.column("keys"), "u8"), _whole(table.column("tags"), "i8")
         counts, sigs = _whole(table.column("counts"), "u4"), _whole(table.column("sigs"), "u4")
@@ -370,6 +376,7 @@ def features_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int)
                     keys.append(name)
                     sets.append(features.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["set_key", "features"])
+        trim()
 
     return rows.mapInArrow(run, "set_key long, features binary")
 

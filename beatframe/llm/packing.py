@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatframe.llm.bpe import encoded
+from beatframe.llm.common import trim
 
 SIZE = 4096
 END = 2  # the id after each document
@@ -118,6 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                         to.append(x)
             columns = [pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, *names])
+        trim()
 
     return rows.mapInArrow(run, schema)
 

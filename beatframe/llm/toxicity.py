@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatframe.llm import samples
-from beatframe.llm.common import blocks_of, cut, letters_of, span_hashes, text_bytes
+from beatframe.llm.common import blocks_of, cut, letters_of, span_hashes, text_bytes, trim
 from beatframe.llm.quality import platt
 
 LIMIT = 3000  # labelled documents of each class that serve as examples, at most
@@ -236,5 +236,6 @@ def score(docs: DataFrame, lists: Lists, keep: Iterable[str] = ("doc_id",), text
             p = np.array([m[0] for m in made], np.float64)
             more = [pa.array([[{"example": int(own.ids[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(m[1], m[2], strict=True)] for m in made], arrow)] if evidence else []
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *more], names=[*keep, "score", "predicted"] + ["evidence"] * evidence)
+        trim()
 
     return rows.mapInArrow(run, schema)
