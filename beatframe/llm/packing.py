@@ -18,7 +18,7 @@ from beatframe.llm.common import trim
 SIZE = 4096
 END = 2  # the id after each document
 GROUP = 4096  # documents of a group, on average
-CACHED = 1 << 19  # words whose ids a worker keeps; the cache is emptied when it is full
+CACHED = 1 << 20  # words whose ids a worker keeps; the cache is emptied when it is full
 _LONGEST = 48  # longer words are not kept
 
 
@@ -26,11 +26,12 @@ class Words:
     """Ids of texts as little-endian unsigned 32-bit integers. The tokenizer drops white space and joins nothing across it, so
     the ids of a text are those of its parts between spaces, tabs and line ends; parts seen before are looked up."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.cached = cached
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,7 +70,7 @@ class Words:
         return own
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED:
+        if len(self.cache) > self.cached:
             self.cache.clear()
         cache = self.cache
         parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
@@ -86,13 +87,14 @@ class Words:
 _WORDS: dict[str, Words] = {}
 
 
-def words(path: str) -> Words:
+def words(path: str, cached: int = CACHED) -> Words:
     if path not in _WORDS:
         _WORDS[path] = Words(path)
+    _WORDS[path].cached = cached
     return _WORDS[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, with_ids: bool = True, cached: int = CACHED) -> DataFrame:
     """The ids of each whole text and the id `end`, cut into pieces of `size`; the last piece of a document is what remains.
 
     Columns: key, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), doc_tokens, and ids
@@ -105,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     step, last = 4 * size, np.array([end], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = words(tokenizer)
+        own = words(tokenizer, cached)
         for batch in batches:
             at: list[int] = []
             made: list[list] = [[] for _ in names]
@@ -177,8 +179,8 @@ def pack(pieces: DataFrame, groups: int, keys: Iterable[str] = ("doc_id", "start
     return grouped.groupBy("__group").applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, group: int = GROUP, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, group: int = GROUP, with_ids: bool = True, cached: int = CACHED) -> DataFrame:
     """token_pieces, then pack in as many groups as hold `group` documents on average. A group holds a bounded number of pieces
-    whatever the corpus: the pieces of one long document go to many groups."""
+    whatever the corpus: the pieces of one long document go to many groups. cached: words whose ids a worker keeps."""
     groups = max(1, -(-docs.count() // group))
-    return pack(token_pieces(docs, tokenizer, key, text, size, end, with_ids), groups, (key, "start", "ids_crc32"), size=size)
+    return pack(token_pieces(docs, tokenizer, key, text, size, end, with_ids, cached), groups, (key, "start", "ids_crc32"), size=size)
