@@ -18,6 +18,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BATCH = 2000  # rows that a Python worker gets at once; whole documents in larger batches make workers and executors large
 
 
+WORDS = 1 << 18  # words whose ids a worker keeps while it packs: workers also hold what earlier stages left
+
+
 def _small_batches(spark: SparkSession) -> None:
     """Batches of at most BATCH rows from now on, in this session."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -60,7 +63,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of at most 4096 tokens."""
     _small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cached=WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [
